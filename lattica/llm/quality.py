@@ -111,7 +111,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_
     return fit_ordinal(x, np.array([r.y for r in rows]))
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_grade, tail (probability of the best grade) and keep, for every row. Null text counts as empty: no features, so the tail is that of the thresholds alone."""
 
     def run(batches):
@@ -124,7 +124,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5,
     return map_rows(texts_of(docs, id_col, text_col), run, "doc_id long, expected_grade double, tail double, keep boolean")
 
 
-def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of docs, all their columns, whose tail reaches least_tail: decided row by row, without a join."""
     import pyarrow as pa
 
