@@ -143,7 +143,7 @@ class WordIds(dict):
     encoded by the library for itself and kept while there is room. Texts that may hold a special
     token's string go to the library whole."""
 
-    ROOM = 400_000
+    ROOM = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -152,19 +152,20 @@ class WordIds(dict):
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.lib.encode(word, add_special_tokens=False).ids
+    def library(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.library(word)
         if len(self) < self.ROOM and len(word) <= 64:
             self[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for ids in map(self.__getitem__, text.replace("\n", " ").split(" ")):
-            out += ids
-        return out
+            return self.library(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -209,8 +210,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = words.encode(text)
-                ids = np.array([*ids, end_id], np.uint32)
+                ids = np.frombuffer(words.encode(text) + end_id.to_bytes(4, "little"), "<u4")
                 if total and total + len(ids) > shard_ids:
                     yield flush()
                     names, counts, parts, total, seq = [], [], [], 0, seq + 1
