@@ -98,52 +98,38 @@ def powers(n: int) -> np.ndarray:
     return out
 
 
-class WordHasher:
-    """64-bit hashes of the white-space separated words of texts, and of runs of k words (shingles).
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[128:] = _IN_WORD[48:58] = _IN_WORD[65:91] = _IN_WORD[97:123] = True
+
 
-    A word's hash depends on its bytes only. Shingles combine k word hashes by a second
-    polynomial; texts are hashed many at a time in one buffer.
-    """
+class WordHasher:
+    """64-bit hashes of words, many texts at a time. A word is a run of letters and digits of the lower-case
+    text: ASCII punctuation and white space separate words, everything beyond ASCII belongs to them."""
 
-    def __init__(self, lower: bool = True):
-        self.lower = lower
+    def __init__(self):
         self.pow = powers(1 << 16)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All word hashes, in order, and the number of words of each text."""
-        blob = "\n".join(t.lower() for t in texts) if self.lower else "\n".join(texts)
-        return self._hash(blob, texts)
-
-    def _hash(self, blob: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # every text is followed by a line end, whose positions give its share of the words
-        buf = np.frombuffer((blob + "\n").encode(), np.uint8)
-        space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-        word = ~space
-        starts = np.flatnonzero(word[1:] & space[:-1]) + 1
-        if len(buf) and word[0]:
-            starts = np.concatenate([np.zeros(1, starts.dtype), starts])
-        ends = np.flatnonzero(word[:-1] & space[1:]) + 1
-        sizes = np.array([len(t.encode()) for t in (x.lower() for x in texts)] if self.lower else [len(t.encode()) for t in texts], np.int64)
-        bounds = np.cumsum(sizes + 1)
-        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], bounds])))
+        data = [t.lower().encode() for t in texts]
+        buf = np.frombuffer(b"\n".join([b"", *data, b""]), np.uint8)
+        word = _IN_WORD[buf]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1  # the first and last bytes are line ends
+        starts, ends = edge[::2], edge[1::2]
+        counts = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)])))
         if not len(starts):
             return np.zeros(0, np.uint64), counts
         length = ends - starts
-        most = int(length.max())
-        if most > len(self.pow):
+        if (most := int(length.max())) > len(self.pow):
             self.pow = powers(2 * most)
-        at = np.arange(len(buf), dtype=np.int64)
-        own = np.repeat(starts, length)
-        at = at[word]
-        values = (buf[word].astype(np.uint64) + np.uint64(1)) * self.pow[at - own]
         first = np.cumsum(length) - length
-        h = np.add.reduceat(values, first)
+        place = np.arange(int(length.sum())) - np.repeat(first, length)
+        h = np.add.reduceat((buf[word].astype(np.uint64) + np.uint64(1)) * self.pow[place], first)
         return mix64(h ^ (length.astype(np.uint64) << np.uint64(40))), counts
 
     def shingles(self, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words and their number per text; a text of fewer than k words has one run of all of them (none when empty)."""
-        words, counts = self.words(texts)
-        return shingle_hashes(words, counts, k)
+        return shingle_hashes(*self.words(texts), k)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif, quality, token_files, toxicity, url_filter
+from . import byte_bpe, containment, gif, near_dup, quality, token_files, toxicity, url_filter
 from .common import read_table
 
 
@@ -29,10 +29,23 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = containment.index_batches(read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return containment.find_items(read_table(spark, sf_dir, "documents"), indexes)
+
+
 #: allow or block, host, path
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -54,5 +67,5 @@ found AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM found
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality, op4_token_files, op7_gif, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality, op4_token_files, op6_licenses, op7_gif, op8_near_dup, op9_url_filter, op10_decontamination)}
 SQL = {"op9_url_filter": _OP9}
