@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, containment, gif, near_dup, quality, token_files, toxicity, url_filter
+from . import byte_bpe, containment, gif, near_dup, quality, substring_dedup, token_files, toxicity, url_filter
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,11 @@ found AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM found
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality, op4_token_files, op6_licenses, op7_gif, op8_near_dup, op9_url_filter, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_quality, op4_token_files, op5_substring_dedup, op6_licenses, op7_gif, op8_near_dup, op9_url_filter, op10_decontamination, pipeline)}
 SQL = {"op9_url_filter": _OP9}
