@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, mix64, texts_of
+from .common import map_rows, materialize, mix64, release, remove
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SPAN + 1, anchor]
 GROUP_MAX = 16_000  # contexts in a block's group
 BLOCK_BYTES = 3_000_000
+PART = 22  # window starts that share a core, where an anchor has too many contexts
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -54,9 +55,9 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h = h[:-done] * np.uint64(mul) + (h[done:] ^ (h[done:] >> np.uint64(31)))
         done, mul = done * 2, mul * mul & (1 << 64) - 1
     h = mix64(h)
-    low = _slide(h, SPAN, True)
-    edge = np.zeros(SPAN - 1, np.uint64)
-    at = np.flatnonzero(h == _slide(np.concatenate([edge, low, edge]), SPAN, False))
+    short = (h >> np.uint64(32)).astype(np.uint32)  # half the bytes to compare; ties only add anchors
+    edge = np.zeros(SPAN - 1, np.uint32)
+    at = np.flatnonzero(short == _slide(np.concatenate([edge, _slide(short, SPAN, True), edge]), SPAN, False))
     return at, h[at]
 
 
@@ -84,8 +85,10 @@ def suffix_classes(runs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarra
     for j in range(7):
         key *= 257
         key += codes[np.minimum(place + np.int32(j), end)]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     k = key[order]
+    short = np.flatnonzero(k % 257 == 0)  # suffixes that end within the key: in the order of their runs
+    order[short] = order[short][np.lexsort((order[short], k[short]))]
     new = np.append(True, (k[1:] != k[:-1]) | (k[1:] % 257 == 0))  # the ends of runs differ from each other
     rank = np.empty(n, np.int32)
     starts = np.maximum.accumulate(np.where(new, place, 0))
@@ -98,7 +101,7 @@ def suffix_classes(runs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarra
             break
         sub = order[slots]
         key = (rank[sub].astype(np.int64) << 32) | rank[np.minimum(sub + np.int32(done), end[sub])]
-        o = np.argsort(key, kind="stable")
+        o = np.argsort(key)
         sub, key = sub[o], key[o]
         order[slots] = sub
         new[slots] = np.append(True, key[1:] != key[:-1])
@@ -180,24 +183,23 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _anchor_rows(texts: DataFrame, full: bool) -> DataFrame:
+def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """(h, s, key): hash and context hash of every anchor, and its text's key."""
+
     def run(batches):
         for b in batches:
             keys, hs, ss = [], [], []
             for key, text in zip(b["key"], b["text"]):
                 data = text.encode()
                 at, h = anchors(data)
-                if not len(at):
-                    continue
-                hs.append(h)
-                if full:
+                if len(at):
+                    hs.append(h)
                     ss.append(contexts(data, at))
                     keys.append(np.full(len(at), key))
             if hs:
-                out = {"h": np.concatenate(hs).view(np.int64)}
-                yield out | ({"s": np.concatenate(ss).view(np.int64), "key": np.concatenate(keys)} if full else {})
+                yield {"h": np.concatenate(hs).view(np.int64), "s": np.concatenate(ss).view(np.int64), "key": np.concatenate(keys)}
 
-    return map_rows(texts.select("key", "text"), run, "h long" + ", s long, key long" * full, rows=128)
+    return map_rows(texts.select("key", "text"), run, "h long, s long, key long", rows=128)
 
 
 def _places(data: bytes, wanted: dict[tuple[int, int], object]) -> list[tuple[int, object]]:
@@ -289,37 +291,67 @@ def _blocks(runs: DataFrame) -> DataFrame:
     return map_rows(runs.repartition("grp").sortWithinPartitions("grp", "key", "start"), run, "h long, s long, starts array<int>")
 
 
-def _windows(joined: DataFrame) -> DataFrame:
-    """For anchors with too many contexts: (h, s, starts) by counting the windows' own hashes, two of 64 bits."""
+def _windows(hot: DataFrame, joined_with) -> DataFrame:
+    """(h, s, starts) for anchors with too many contexts, in two steps of counting with partial sums.
 
-    def run(batches):
-        for b in batches:
-            out = {c: [] for c in ("w", "v", "cnt", "h", "s", "off")}
-            for text, items in zip(b["text"], b["items"]):
-                data = text.encode()
-                for a, i in _places(data, {(i["h"], i["s"]): i for i in items}):
-                    for p in range(max(0, a - SPAN + 1), min(a, len(data) - LENGTH) + 1):
-                        x = xxhash.xxh3_128_intdigest(data[p : p + LENGTH])
-                        for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), i["cnt"], i["h"], i["s"], p - a)):
-                            out[c].append(v)
-            yield out
+    Windows that start within PART bytes of each other share a core of LENGTH - PART + 1 bytes; where no other
+    occurrence has the core, none has a window. Of the rest every window is counted by its own 128-bit hash.
+    A window holds several anchors and comes with each of them: rows count under one anchor and place only.
+    """
 
-    rows = map_rows(joined, run, "w long, v long, cnt long, h long, s long, off int", rows=32)
-    again = rows.groupBy("w", "v").agg(F.sum("cnt").alias("n")).filter("n > 1").select("w", "v")
-    return rows.join(again, ["w", "v"], "left_semi").groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("starts"))
+    def counted(n_parts: bool):
+        def run(batches):
+            for b in batches:
+                out = {c: [] for c in ("w", "v", "cnt", "h", "s", "off")}
+                for text, items in zip(b["text"], b["items"]):
+                    data = text.encode()
+                    for a, i in _places(data, {(i["h"], i["s"]): i for i in items}):
+                        for off in range(1 - SPAN, 1, PART) if n_parts else [o for part in i["parts"] for o in range(part, min(part + PART, 1))]:
+                            # a core reaches from the last to the first window's common bytes; cut off by the text's ends it is kept
+                            lo, hi = (a + min(off + PART - 1, 0), a + off + LENGTH) if n_parts else (a + off, a + off + LENGTH)
+                            if not n_parts and (lo < 0 or hi > len(data)):
+                                continue
+                            if n_parts and (lo < 0 or a + off + LENGTH > len(data) + PART):
+                                continue
+                            x = xxhash.xxh3_128_intdigest(data[lo : min(hi, len(data))])
+                            for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), i["cnt"], i["h"], i["s"], off)):
+                                out[c].append(v)
+                yield out
+
+        return run
+
+    def again(rows: DataFrame) -> DataFrame:
+        same = ["w", "v", "h", "off"]
+        several = rows.groupBy(*same).agg(F.sum("cnt").alias("n")).filter("n > 1").select(*same)
+        return rows.join(several, same, "left_semi").select("h", "s", "cnt", "off").distinct()
+
+    schema = "w long, v long, cnt long, h long, s long, off int"
+    first = hot.select("h", "s", "cnt", F.col("k1").alias("key"))
+    cores = materialize(map_rows(joined_with(first.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt")).alias("items"))), counted(True), schema, rows=32), "cores")
+    parts = again(cores).groupBy("h", "s").agg(F.collect_list("off").alias("parts"))
+    second = first.join(parts, ["h", "s"])
+    rows = map_rows(joined_with(second.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt", "parts")).alias("items"))), counted(False), schema, rows=32)
+    rows = materialize(rows, "windows")
+    return again(rows).groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("starts"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """texts (doc_id, key, text), key a hash of the text: (key, items) with the repeated window starts of the text's anchors."""
-    once = _anchor_rows(texts, False).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    held = materialize(_anchor_rows(texts, True).join(once, "h", "left_semi"), "anchors")
+    spark = texts.sparkSession
+    every = materialize(_anchor_rows(texts), "all-anchors")
+    once = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    held = materialize(every.join(once, "h", "left_semi"), "anchors")
+    remove(spark, every.inputFiles()[0].rpartition("/")[0]) if not every.isEmpty() else None
+    del every, once
+    release(spark)
     classes = materialize(held.groupBy("h", "s").agg(F.count("*").alias("cnt"), F.min("key").alias("k1"), F.max("key").alias("k2")), "classes")
     names = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("k1").alias("label"))
-    sized = classes.join(names, "h")
-    per_label = sized.groupBy("label").agg(F.count("*").alias("n_label"))
+    per_label = names.groupBy("label").agg(F.sum("n_classes").alias("n_label"))
     # a label's contexts, if they are few enough; else those of one anchor; else single windows
     own = F.when(F.col("n_label") <= GROUP_MAX, F.col("label")).when(F.col("n_classes") <= GROUP_MAX, F.xxhash64("label", "h"))
-    sized = sized.join(per_label, "label").select("h", "s", "cnt", "k1", "k2", own.alias("grp"))
+    sized = materialize(classes.join(names.join(per_label, "label").select("h", own.alias("grp")), "h"), "sized")
+    del names, per_label, classes
+    release(spark)
     reps = sized.select("h", "s", "cnt", "grp", (F.col("k1") == F.col("k2")).alias("alone"), F.explode(F.array_distinct(F.array("k1", "k2"))).alias("key"))
     by_key = reps.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt", "alone", "grp")).alias("items"))
     firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"))
@@ -330,9 +362,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     hot = sized.filter("grp is null")
     if not hot.isEmpty():
         # every class has one text to read it from, and its number of occurrences
-        one = hot.select("h", "s", "cnt", F.col("k1").alias("key")).groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt")).alias("items"))
-        found = found.unionByName(_windows(texts.join(one.join(firsts, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "items")))
+        found = found.unionByName(_windows(hot, lambda lists: texts.join(lists.join(firsts, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "items")))
     found = materialize(found, "repeats")
+    del usual, joined, chosen, by_key, reps, hot
+    release(spark)
     return held.distinct().join(found, ["h", "s"]).groupBy("key").agg(F.collect_list(F.struct("h", "s", "starts")).alias("items"))
 
 
