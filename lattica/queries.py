@@ -26,9 +26,10 @@ def query(sql: str | None = None) -> Callable:
     """Register f(db) under its name."""
 
     def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Database.open(spark, sf_dir))
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = lambda spark, sf_dir: f(Database.open(spark, sf_dir))
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name] = sql
         return f
 
     return put
