@@ -22,35 +22,44 @@ from .common import map_rows, texts_of
 MAX_CODES = 4096
 
 
+_BITS = np.array([i.bit_length() for i in range(MAX_CODES)])
+
+
+def _bits_of(entries: np.ndarray, least: int) -> np.ndarray:
+    return np.maximum(least, _BITS[entries])
+
+
 def _widths(first: int, n: int, start_bits: int) -> np.ndarray:
     """Bits of the codes first .. first + n - 1 since a clear code."""
     clear = 1 << (start_bits - 1)
     entries = np.minimum(clear + 2 + np.maximum(np.arange(first, first + n) - 1, 0), MAX_CODES - 1)
-    return np.maximum(start_bits, np.floor(np.log2(entries)).astype(np.int64) + 1)
+    return _bits_of(entries, start_bits)
 
 
 def lzw_codes(data: bytes, min_bits: int = 8) -> list[int]:
-    """Greedy longest matches; a clear code at the start and whenever the table is full."""
+    """Greedy longest matches; a clear code at the start and whenever the table is full. The table is a tree:
+    the node of a string has its code at -1 and the nodes of longer strings under their next sample."""
     clear = 1 << min_bits
-    codes, table = [clear], {}
+    codes = [clear]
     if not data:
         return [*codes, clear + 1]
-    get, out, prev, nxt = table.get, codes.append, data[0], clear + 2
+    out, nxt = codes.append, clear + 2
+    roots = [{-1: i} for i in range(clear)]
+    node = roots[data[0]]
     for c in data[1:]:
-        found = get(prev << 8 | c)
-        if found is not None:
-            prev = found
+        if c in node:
+            node = node[c]
             continue
-        out(prev)
+        out(node[-1])
         if nxt < MAX_CODES:
-            table[prev << 8 | c] = nxt
+            node[c] = {-1: nxt}
             nxt += 1
         else:
             out(clear)
-            table.clear()
+            roots = [{-1: i} for i in range(clear)]
             nxt = clear + 2
-        prev = c
-    return [*codes, prev, clear + 1]
+        node = roots[c]
+    return [*codes, node[-1], clear + 1]
 
 
 def lzw_encode(data: bytes, min_bits: int = 8) -> bytes:
@@ -62,13 +71,9 @@ def lzw_encode(data: bytes, min_bits: int = 8) -> bytes:
     since[at[1:]] = np.diff(at) - 1
     since[0] = 0
     entries = np.minimum(clear + 2 + np.maximum(since - 1, 0), MAX_CODES - 1)
-    width = np.maximum(min_bits + 1, np.floor(np.log2(entries)).astype(np.int64) + 1)
-    off = np.cumsum(width) - width
-    bits = np.zeros(int(off[-1] + width[-1]), np.uint8)
-    for b in range(12):
-        on = width > b
-        bits[off[on] + b] = (codes[on] >> b) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    width = _bits_of(entries, min_bits + 1)
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
 
 
 def _strings(codes: np.ndarray, clear: int) -> np.ndarray:
@@ -259,7 +264,7 @@ def frames_shown(gif: Gif):
         full[: len(palette), :3] = palette
         full[:, 3] = 255
         shown = f.indices[: area[0].stop - area[0].start, : area[1].stop - area[1].start]
-        colours = full[shown]
+        colours = full.view("<u4")[:, 0][shown].view(np.uint8).reshape(*shown.shape, 4)  # the four bytes of a colour at once
         if f.transparent is None:
             canvas[area] = colours
         else:
@@ -275,9 +280,10 @@ def frames_shown(gif: Gif):
 
 def histogram(rgba: np.ndarray, bins: int = 4) -> np.ndarray:
     """Counts of visible pixels by red, green and blue, bins each: bins ** 3 numbers."""
-    seen = rgba.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0].astype(np.int64) * bins >> 8
-    return np.bincount((seen[:, 0] * bins + seen[:, 1]) * bins + seen[:, 2], minlength=bins**3)
+    pixels = rgba.reshape(-1, 4)
+    level = np.arange(256) * bins >> 8
+    seen = pixels[pixels[:, 3] > 0] if not pixels[:, 3].all() else pixels
+    return np.bincount((level * bins * bins)[seen[:, 0]] + (level * bins)[seen[:, 1]] + level[seen[:, 2]], minlength=bins**3)
 
 
 #: Colour i stands for sample i: red is the sample itself, green falls, blue turns seven times.
