@@ -55,6 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(table: DataFrame | None) -> None:
+    """Remove the files of a table that materialize() wrote and nothing reads any more."""
+    if table is not None and (files := table.inputFiles()):
+        remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with a null text read as empty; other columns are not read at all."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -97,12 +103,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
 _BASE = pow(0x9E3779B97F4A7C15 | 1, 1, 1 << 64)
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+_POWERS: dict[bool, np.ndarray] = {}
+
+
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of an odd constant, or of its inverse modulo 2 ** 64; those of short texts are kept."""
+    known = _POWERS.get(inverse)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 1 << 16:
+            _POWERS[inverse] = known
+    return known[:n]
 
 
 _IN_WORD = np.zeros(256, bool)

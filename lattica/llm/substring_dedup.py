@@ -4,8 +4,9 @@ Every LENGTH-byte window has an anchor, the least hash of its GRAM-byte strings,
 the same anchor at the same place. So windows that repeat meet under their anchor's hash:
 
 1. anchors of all texts with a hash of their context, the bytes of all windows around them;
-2. anchors that occur once are done; equal contexts form a class, and two of its copies stand for it;
-3. the contexts of anchors that belong together (same smallest text) are cut from their texts as runs and
+2. anchors that occur once are done; equal contexts form a class: in a class of several all windows repeat, so one copy
+   stands for it, and an anchor with one class needs no more;
+3. the contexts of anchors of several classes that belong together (same smallest text) are cut from their texts as runs and
    come to one task as one block; blocks hold whole groups and are bounded in size;
 4. a block's suffixes are sorted, and threshold-bounded interval expansion on its Burrows-Wheeler transform
    finds the boundaries between suffixes whose common prefix is shorter than LENGTH: breadth first, by
@@ -26,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, mix64, release, remove
+from .common import discard, map_rows, materialize, mix64, powers, release
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SPAN + 1, anchor]
 GROUP_MAX = 16_000  # contexts in a block's group
 BLOCK_BYTES = 3_000_000
+STRETCH = 24_000  # bytes of texts whose anchors are found together
 PART = 22  # window starts that share a core, where an anchor has too many contexts
 
 
@@ -44,21 +46,41 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[:n], x[width - done : width - done + n])
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors: all places with the least hash in some window."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    done, mul = 1, 0xD6E8FEB86659FD93
-    while done < GRAM:
-        h = h[:-done] * np.uint64(mul) + (h[done:] ^ (h[done:] >> np.uint64(31)))
-        done, mul = done * 2, mul * mul & (1 << 64) - 1
+def anchors_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of each text's anchors: all places with the least hash in some window of that text."""
+    out, at, size = [], 0, 0
+    for i, data in enumerate(texts):
+        size += len(data)
+        if size >= STRETCH or i + 1 == len(texts):
+            out += _anchors(texts[at : i + 1])
+            at, size = i + 1, 0
+    return out
+
+
+def _anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One stretch of texts behind each other: hashes of all strings of GRAM bytes from sums of powers, windows within a text only."""
+    ends = np.cumsum([len(t) for t in texts])
+    n = int(ends[-1])
+    if n < LENGTH:
+        return [(np.zeros(0, np.int64), np.zeros(0, np.uint64))] * len(texts)
+    sums = np.zeros(n + 1, np.uint64)
+    np.multiply(powers(n), np.frombuffer(b"".join(texts), np.uint8), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= powers(n, inverse=True)[: len(h)]
     h = mix64(h)
     short = (h >> np.uint64(32)).astype(np.uint32)  # half the bytes to compare; ties only add anchors
-    edge = np.zeros(SPAN - 1, np.uint32)
-    at = np.flatnonzero(short == _slide(np.concatenate([edge, _slide(short, SPAN, True), edge]), SPAN, False))
-    return at, h[at]
+    short |= np.uint32(1)
+    least, edge = _slide(short, SPAN, True), np.zeros(SPAN - 1, np.uint32)
+    for start, end in zip([0, *ends.tolist()], ends.tolist()):
+        least[max(start, end - LENGTH + 1) : end] = 0  # such windows reach into the next text
+    at = np.flatnonzero(short == _slide(np.concatenate([edge, least, edge]), SPAN, False))
+    cut = np.searchsorted(at, ends)
+    return [(at[a:b] - start, h[at[a:b]]) for a, b, start in zip([0, *cut.tolist()], cut.tolist(), [0, *ends.tolist()])]
+
+
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return anchors_of([data])[0]
 
 
 def contexts(data: bytes, at: np.ndarray) -> np.ndarray:
@@ -189,9 +211,8 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             keys, hs, ss = [], [], []
-            for key, text in zip(b["key"], b["text"]):
-                data = text.encode()
-                at, h = anchors(data)
+            texts = [t.encode() for t in b["text"]]
+            for key, data, (at, h) in zip(b["key"], texts, anchors_of(texts)):
                 if len(at):
                     hs.append(h)
                     ss.append(contexts(data, at))
@@ -202,9 +223,9 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     return map_rows(texts.select("key", "text"), run, "h long, s long, key long", rows=128)
 
 
-def _places(data: bytes, wanted: dict[tuple[int, int], object]) -> list[tuple[int, object]]:
-    """(place, value) of every anchor of the text whose (hash, context) is wanted."""
-    at, h = anchors(data)
+def _places(data: bytes, own: tuple[np.ndarray, np.ndarray], wanted: dict[tuple[int, int], object]) -> list[tuple[int, object]]:
+    """(place, value) of every anchor of the text (own: all of them) whose (hash, context) is wanted."""
+    at, h = own
     names = {k for k, _ in wanted}
     hit = np.flatnonzero(np.isin(h.view(np.int64), np.fromiter(names, np.int64, len(names))))
     at, h = at[hit], h[hit]
@@ -213,21 +234,17 @@ def _places(data: bytes, wanted: dict[tuple[int, int], object]) -> list[tuple[in
 
 
 def _runs(joined: DataFrame) -> DataFrame:
-    """Runs of contexts, by group: merged where they touch, with the anchors they hold."""
+    """Runs of contexts, by group: merged where they touch, with the anchors whose context occurs once."""
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("grp", "key", "start", "twice", "data", "h", "s", "at")}
-            for key, text, items in zip(b["key"], b["text"], b["items"]):
-                data = text.encode()
-                found = _places(data, {(i["h"], i["s"]): i for i in items})
-                places: dict[tuple[int, int], int] = {}
-                for _, i in found:
-                    places[i["h"], i["s"]] = places.get((i["h"], i["s"]), 0) + 1
+            out = {c: [] for c in ("grp", "key", "start", "data", "h", "s", "at")}
+            texts = [t.encode() for t in b["text"]]
+            for key, data, own_anchors, items in zip(b["key"], texts, anchors_of(texts), b["items"]):
+                found = _places(data, own_anchors, {(i["h"], i["s"]): i for i in items})
                 by: dict[int, list] = {}
                 for a, i in found:
-                    # one text, more occurrences than places in it: the text has copies, and so has everything in it
-                    by.setdefault(i["grp"], []).append((a, i, i["alone"] and i["cnt"] > places[i["h"], i["s"]]))
+                    by.setdefault(i["grp"], []).append((a, i))
                 for grp, own in by.items():
                     at = 0
                     while at < len(own):
@@ -236,31 +253,26 @@ def _runs(joined: DataFrame) -> DataFrame:
                             end = own[to][0] + LENGTH
                             to += 1
                         start = max(0, own[at][0] - SPAN + 1)
-                        part = own[at:to]
-                        for c, v in zip(out, (grp, key, start, any(t for _, _, t in part), data[start:end], [i["h"] for _, i, _ in part], [i["s"] for _, i, _ in part], [a - start for a, _, _ in part])):
+                        part = [(a, i) for a, i in own[at:to] if i["cnt"] == 1]
+                        for c, v in zip(out, (grp, key, start, data[start:end], [i["h"] for _, i in part], [i["s"] for _, i in part], [a - start for a, _ in part])):
                             out[c].append(v)
                         at = to
             yield out
 
-    return map_rows(joined, run, "grp long, key long, start int, twice boolean, data binary, h array<long>, s array<long>, at array<int>", rows=64)
+    return map_rows(joined, run, "grp long, key long, start int, data binary, h array<long>, s array<long>, at array<int>", rows=64)
 
 
 def _blocks(runs: DataFrame) -> DataFrame:
-    """(h, s, starts): flat pairs of window starts relative to the anchor, of classes with repeated windows."""
+    """(h, s, starts): flat pairs of window starts relative to the anchor, of contexts that occur once and have repeated windows."""
 
     def solve(rows):
-        data, groups, whose, ids = [], [], [], {}
-        for i, r in enumerate(rows):
-            for _ in range(2 if r[3] else 1):
-                data.append(r[4])
-                groups.append(ids.setdefault(r[0], len(ids)))
-                whose.append(i)
-        flags = repeated_starts(data, np.array(groups))
+        ids: dict[int, int] = {}
+        groups = [ids.setdefault(r[0], len(ids)) for r in rows]
         out, seen = {"h": [], "s": [], "starts": []}, set()
-        for i, f in zip(whose, flags):
+        for r, f in zip(rows, repeated_starts([r[3] for r in rows], np.array(groups))):
             if not f.any():
                 continue
-            for h, s, a in zip(*rows[i][5:8]):
+            for h, s, a in zip(*r[4:7]):
                 if (h, s) in seen:
                     continue
                 lo = max(0, a - SPAN + 1)
@@ -275,7 +287,7 @@ def _blocks(runs: DataFrame) -> DataFrame:
     def run(batches):
         rows, size, group, before = [], 0, None, None
         for b in batches:
-            for r in zip(*(b[c] for c in ("grp", "key", "start", "twice", "data", "h", "s", "at"))):
+            for r in zip(*(b[c] for c in ("grp", "key", "start", "data", "h", "s", "at"))):
                 if r[:3] == before:  # repeated input rows
                     continue
                 before = r[:3]
@@ -284,15 +296,15 @@ def _blocks(runs: DataFrame) -> DataFrame:
                     rows, size = [], 0
                 group = r[0]
                 rows.append(r)
-                size += len(r[4]) * (2 if r[3] else 1)
+                size += len(r[3])
         if rows:
             yield solve(rows)
 
     return map_rows(runs.repartition("grp").sortWithinPartitions("grp", "key", "start"), run, "h long, s long, starts array<int>")
 
 
-def _windows(hot: DataFrame, joined_with) -> DataFrame:
-    """(h, s, starts) for anchors with too many contexts, in two steps of counting with partial sums.
+def _windows(hot: DataFrame, joined_with) -> tuple[DataFrame, DataFrame]:
+    """(h, s, starts) for anchors with too many contexts, in two steps of counting with partial sums; and the table to drop when it is read.
 
     Windows that start within PART bytes of each other share a core of LENGTH - PART + 1 bytes; where no other
     occurrence has the core, none has a window. Of the rest every window is counted by its own 128-bit hash.
@@ -303,9 +315,9 @@ def _windows(hot: DataFrame, joined_with) -> DataFrame:
         def run(batches):
             for b in batches:
                 out = {c: [] for c in ("w", "v", "cnt", "h", "s", "off")}
-                for text, items in zip(b["text"], b["items"]):
-                    data = text.encode()
-                    for a, i in _places(data, {(i["h"], i["s"]): i for i in items}):
+                texts = [t.encode() for t in b["text"]]
+                for data, own, items in zip(texts, anchors_of(texts), b["items"]):
+                    for a, i in _places(data, own, {(i["h"], i["s"]): i for i in items}):
                         for off in range(1 - SPAN, 1, PART) if n_parts else [o for part in i["parts"] for o in range(part, min(part + PART, 1))]:
                             # a core reaches from the last to the first window's common bytes; cut off by the text's ends it is kept
                             lo, hi = (a + min(off + PART - 1, 0), a + off + LENGTH) if n_parts else (a + off, a + off + LENGTH)
@@ -322,7 +334,8 @@ def _windows(hot: DataFrame, joined_with) -> DataFrame:
 
     def again(rows: DataFrame) -> DataFrame:
         same = ["w", "v", "h", "off"]
-        several = rows.groupBy(*same).agg(F.sum("cnt").alias("n")).filter("n > 1").select(*same)
+        # where every context occurs more than once nothing is open
+        several = rows.groupBy(*same).agg(F.sum("cnt").alias("n"), F.min("cnt").alias("least")).filter("n > 1 and least = 1").select(*same)
         return rows.join(several, same, "left_semi").select("h", "s", "cnt", "off").distinct()
 
     schema = "w long, v long, cnt long, h long, s long, off int"
@@ -332,53 +345,63 @@ def _windows(hot: DataFrame, joined_with) -> DataFrame:
     second = first.join(parts, ["h", "s"])
     rows = map_rows(joined_with(second.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt", "parts")).alias("items"))), counted(False), schema, rows=32)
     rows = materialize(rows, "windows")
-    return again(rows).groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("starts"))
+    discard(cores)
+    return again(rows).filter("cnt = 1").groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("starts")), rows
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """texts (doc_id, key, text), key a hash of the text: (key, items) with the repeated window starts of the text's anchors."""
+    """texts (doc_id, key, text), key a hash of the text: (key, items) with the repeated window starts of the text's anchors, null where all repeat."""
     spark = texts.sparkSession
     every = materialize(_anchor_rows(texts), "all-anchors")
     once = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     held = materialize(every.join(once, "h", "left_semi"), "anchors")
-    remove(spark, every.inputFiles()[0].rpartition("/")[0]) if not every.isEmpty() else None
+    discard(every)
     del every, once
     release(spark)
-    classes = materialize(held.groupBy("h", "s").agg(F.count("*").alias("cnt"), F.min("key").alias("k1"), F.max("key").alias("k2")), "classes")
-    names = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("k1").alias("label"))
+    classes = materialize(held.groupBy("h", "s").agg(F.count("*").alias("cnt"), F.min("key").alias("k1")), "classes")
+    # an anchor of one class is done: that class has several copies
+    names = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("k1").alias("label")).filter("n_classes > 1")
     per_label = names.groupBy("label").agg(F.sum("n_classes").alias("n_label"))
     # a label's contexts, if they are few enough; else those of one anchor; else single windows
     own = F.when(F.col("n_label") <= GROUP_MAX, F.col("label")).when(F.col("n_classes") <= GROUP_MAX, F.xxhash64("label", "h"))
     sized = materialize(classes.join(names.join(per_label, "label").select("h", own.alias("grp")), "h"), "sized")
-    del names, per_label, classes
+    del names, per_label
     release(spark)
-    reps = sized.select("h", "s", "cnt", "grp", (F.col("k1") == F.col("k2")).alias("alone"), F.explode(F.array_distinct(F.array("k1", "k2"))).alias("key"))
-    by_key = reps.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt", "alone", "grp")).alias("items"))
     firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"))
-    chosen = by_key.join(firsts, "key")
-    joined = texts.join(chosen, "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text", "items")
-    usual = joined.withColumn("items", F.filter("items", lambda i: i["grp"].isNotNull()))
-    found = _blocks(_runs(usual))
-    hot = sized.filter("grp is null")
+
+    def with_texts(lists: DataFrame) -> DataFrame:
+        """Every class has one text to read it from."""
+        return texts.join(lists.join(firsts, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text", "items")
+
+    usual = sized.filter("grp is not null").groupBy(F.col("k1").alias("key")).agg(F.collect_list(F.struct("h", "s", "cnt", "grp")).alias("items"))
+    found = _blocks(_runs(with_texts(usual))).unionByName(classes.filter("cnt > 1").select("h", "s", F.lit(None).cast("array<int>").alias("starts")))
+    hot, windows = sized.filter("grp is null"), None
     if not hot.isEmpty():
-        # every class has one text to read it from, and its number of occurrences
-        found = found.unionByName(_windows(hot, lambda lists: texts.join(lists.join(firsts, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "items")))
+        more, windows = _windows(hot, with_texts)
+        found = found.unionByName(more)
+        del more
     found = materialize(found, "repeats")
-    del usual, joined, chosen, by_key, reps, hot
+    for done in (classes, sized, windows):
+        discard(done)
+    del usual, hot, classes, sized, windows, done
     release(spark)
     return held.distinct().join(found, ["h", "s"]).groupBy("key").agg(F.collect_list(F.struct("h", "s", "starts")).alias("items"))
 
 
-def covered(data: bytes, items: list[dict] | None) -> np.ndarray:
-    """Flat [from, to) pairs of the bytes that repeated windows cover."""
-    if not items:
-        return np.zeros(0, np.int64)
-    mark = np.zeros(len(data) + 1, np.int32)
-    for a, starts in _places(data, {(i["h"], i["s"]): i["starts"] for i in items}):
-        for lo, hi in zip(starts[::2], starts[1::2]):
-            mark[a + lo] += 1
-            mark[a + hi - 1 + LENGTH] -= 1
-    return np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]]).astype(np.int8)))
+def covered(texts: list[bytes], items_of: list[list[dict] | None]) -> list[np.ndarray]:
+    """For each text flat [from, to) pairs of the bytes that repeated windows cover."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    which = [i for i, items in enumerate(items_of) if items]
+    for i, own in zip(which, anchors_of([texts[i] for i in which])):
+        mark = np.zeros(len(texts[i]) + 1, np.int32)
+        for a, starts in _places(texts[i], own, {(x["h"], x["s"]): x["starts"] for x in items_of[i]}):
+            if starts is None:  # all windows around it
+                starts = (max(-a, 1 - SPAN), min(0, len(texts[i]) - LENGTH - a) + 1)
+            for lo, hi in zip(starts[::2], starts[1::2]):
+                mark[a + lo] += 1
+                mark[a + hi - 1 + LENGTH] -= 1
+        out[i] = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]]).astype(np.int8)))
+    return out
 
 
 def kept_bytes(data: bytes, edges: np.ndarray) -> bytes:
@@ -405,9 +428,8 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
-            for text, items in zip(b["text"], b["items"]):
-                data = text.encode()
-                edges = covered(data, items)
+            texts = [t.encode() for t in b["text"]]
+            for data, edges in zip(texts, covered(texts, b["items"])):
                 kept = kept_bytes(data, edges)
                 for c, v in zip(("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"), (len(data), len(data) - len(kept), len(edges) // 2, edges.tolist(), hashlib.sha256(kept).hexdigest())):
                     out[c].append(v)
@@ -430,9 +452,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 b = batch.slice(i, 64)
                 cols = [b.column(j) for j in range(len(names))]
                 out = []
-                for text, items in zip(cols[at].to_pylist(), b.column(len(names)).to_pylist()):
-                    data = (text or "").encode()
-                    edges = covered(data, items)
+                texts = cols[at].to_pylist()
+                whole = [(t or "").encode() for t in texts]
+                for text, data, edges in zip(texts, whole, covered(whole, b.column(len(names)).to_pylist())):
                     out.append(text if not len(edges) else kept_bytes(data, edges).decode(errors="ignore"))
                 cols[at] = pa.array(out, cols[at].type)
                 if chars is not None:
