@@ -17,7 +17,6 @@ import base64
 import hashlib
 from itertools import chain
 
-import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +37,19 @@ class PrefixCoder:
     """Encodes one piece (bytes) at a time; pairs that were tested are remembered, up to a bound."""
 
     PAIRS = 500_000
+    #: Prefix lengths whose tables are kept for other pieces with the same beginning, up to a bound.
+    STEMS = (5, 8)
+    KEPT_STEMS = 400_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size = {v: len(k) for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.ends = ahocorasick.Automaton()  # all tokens that end at a byte
-        for k, v in ranks.items():
-            self.ends.add_word(k.decode("latin-1"), v)
-        self.ends.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spines: dict[int, tuple[list, list]] = {}
+        self.whole: dict[int, bool] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
 
     def merged(self, piece: bytes, below: int | None = None) -> list[bytes]:
         """Merges in rank order over a few bytes, of ranks under `below` only: takes one token apart."""
@@ -82,14 +82,17 @@ class PrefixCoder:
 
     def stands(self, t: int) -> bool:
         """Whether the merges give t for t's own bytes."""
-        return len(self.merged(self.bytes_of[t])) == 1
+        if t not in self.whole:
+            self.whole[t] = len(self.merged(self.bytes_of[t])) == 1
+        return self.whole[t]
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether b may follow a: no part at a's right edge merges with one at b's left edge before their own merges take them."""
+        """Whether b may follow a: no part at a's right edge merges with one at b's left edge before their own merges take them.
+        An a of -1 stands for the begin of the data."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            get, ok = self.ranks.get, True
-            for x, rx, px in self.sides(a)[1]:
+            get, ok = self.ranks.get, self.stands(b)
+            for x, rx, px in self.sides(a)[1] if ok and a >= 0 else ():
                 for y, ry, py in self.sides(b)[0]:
                     m = get(x + y)
                     if m is not None and (m := max(m, rx, ry)) < px and m <= py:
@@ -100,37 +103,41 @@ class PrefixCoder:
         return ok
 
     def extend(self, data: bytes, last: list[int], to: int) -> None:
-        """Add the entries up to prefix length to; last has those before."""
-        pair, size, known = self.pairs.get, self.size, len(last)
-        last.extend([-1] * (to + 1 - known))
-        begin = max(0, known - self.longest)
-        for e, t in self.ends.iter(data[begin:to].decode("latin-1")):
-            p = begin + e + 1
-            if last[p] >= 0 or p < known:
-                continue
-            i = p - size[t]
-            if i:
-                ok = pair((last[i], t))
-                if ok is None:
-                    ok = self.fits(last[i], t)
+        """Add the entries up to prefix length to; last has those before. The order of trial is free, as one token at most fits; most are short."""
+        rank, pair, longest = self.ranks.get, self.pairs.get, self.longest
+        for p in range(len(last), to + 1):
+            for i in range(p - 1, max(-1, p - longest - 1), -1):
+                t = rank(data[i:p])
+                if t is not None:
+                    ok = pair((last[i], t))
+                    if ok or ok is None and self.fits(last[i], t):
+                        last.append(t)
+                        break
             else:
-                ok = self.stands(t)
-            if ok:
-                last[p] = t
-        if -1 in last[known:]:
-            raise ValueError("a byte has no token")
+                raise ValueError("a byte has no token")
 
     def table(self, data: bytes) -> list[int]:
-        last = [-1]
+        """The entries of all prefixes, appended to those of the longest beginning that is kept."""
+        ends = [k for k in self.STEMS if k < len(data)]
+        last, missing = [-1], []
+        while ends:
+            k = ends.pop()
+            if (found := self.stems.get(data[:k])) is not None:
+                last = list(found)
+                break
+            missing.append(k)
+        for k in reversed(missing):
+            self.extend(data, last, k)
+            if len(self.stems) < self.KEPT_STEMS:
+                self.stems[data[:k]] = tuple(last)
         self.extend(data, last, len(data))
         return last
 
     def read(self, last: list[int]) -> list[int]:
-        out, p = [], len(last) - 1
+        out, p, size = [], len(last) - 1, self.size
         while p:
-            t = last[p]
-            out.append(t)
-            p -= len(self.bytes_of[t])
+            out.append(last[p])
+            p -= size[last[p]]
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -208,7 +215,7 @@ class TextCoder:
         pieces = self.split(word)
         if len(pieces) == 1:
             return self.coder.encode_piece(word.encode())
-        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.words.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         if self.odd is None or self.odd(text):
