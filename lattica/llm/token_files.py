@@ -138,10 +138,21 @@ class Shard:
         return [None] * self._nulls + (self._names.values().astype(np.int64) + self._base).tolist()
 
 
+#: The pattern of public word vocabularies whose matches hold either letters, one digit, or neither.
+WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+
 class WordIds(dict):
     """Ids of texts by a vocabulary that drops white space: each word between spaces or line ends is
     encoded by the library for itself and kept while there is room. Texts that may hold a special
-    token's string go to the library whole."""
+    token's string go to the library whole.
+
+    With apart, the vocabulary's pattern never joins letters and punctuation: of a word that ends
+    in one of ENDS the letters and the rest are looked up for themselves, if all letters are below
+    PLAIN: normalising gives letters for those, and marks for some beyond."""
+
+    ENDS = frozenset(".,;:!?")
+    PLAIN = "\u0130"
 
     ROOM = 1_000_000
 
@@ -150,13 +161,18 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        steps = json.loads(self.lib.to_str())["pre_tokenizer"] or {}
+        self.apart = [s.get("pattern", {}).get("Regex") for s in steps.get("pretokenizers", [])][:1] == [WORDS_APART]
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
     def library(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.library(word)
+        if self.apart and word[-1:] in self.ENDS and word[:-1].isalpha() and max(word) < self.PLAIN:
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self.library(word)
         if len(self) < self.ROOM and len(word) <= 64:
             self[word] = ids
         return ids
