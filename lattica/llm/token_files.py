@@ -257,7 +257,8 @@ def read_token_files(shards: DataFrame, with_ids: bool = True) -> DataFrame:
                     out = {"doc_id": names[at : at + 2048], "start": (bounds[at : at + len(own)] + start).tolist(), "n_tokens": list(map(len, own)), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in own]}
                     yield out | ({"ids": [x.astype(np.int32) for x in own]} if with_ids else {})
 
-    rows = shards.select("path", "start").repartition(F.col("path"))
+    rows = shards.select("path", "start")
+    rows = rows.repartition(max(1, rows.count()), "path")  # the rows are small and the files are not: a number that is given is not coalesced
     return map_rows(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
