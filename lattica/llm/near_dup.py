@@ -8,23 +8,28 @@ bounds what is broadcast.
 
 Documents of the same words are one node. Nodes that share a band are linked to two nodes of the
 band, linked pairs are verified by their weighted Jaccard similarity, and bands that then still hold
-several components are linked anew, by other nodes, across components only.
+several components are linked anew, by other nodes, across components only. The nodes of bands that
+remain so meet in an exact join of prefixes: with shingles in one order, rare ones first, two nodes
+that reach the threshold share a shingle of the short prefix of the smaller and the prefix of the larger.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix64, powers, shingle_hashes, texts_of
+from .common import WordHasher, discard, map_rows, materialize, mix64, powers, release, shingle_hashes, texts_of
 from .graph import components
 
 COMMON = 0.01
 CHUNK_DOCS = 2000
 _TABLE_BITS = 16
+_COUNT_BITS = 20
+_COUNT_SLICES = 64
 
 
 class SampleTables:
@@ -147,6 +152,81 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high else 1.0
 
 
+def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Weights], threshold: float, k: int) -> DataFrame:
+    """held (node, text) to pairs (a, b) across components: all that can reach the threshold are among them.
+
+    The weights of x and y share at least need = t / (1 + t) * (|x| + |y|) then, and the larger is at most 1 / t times
+    the smaller. Shingles are ordered alike in all nodes, by how many nodes have one of their hash bucket: if the
+    smaller had none of the first (1 - t) / (1 + t) of its weight among the first 1 - t of the larger's, less than
+    need would be left to share. A shingle whose bucket one node has is shared by none. Any order is exact; rare
+    ones first keep the shingles that thousands of nodes have out of the prefixes.
+    """
+    cells, width = 1 << _COUNT_BITS, (1 << _COUNT_BITS) // _COUNT_SLICES
+
+    def bucket(s):
+        return (s >> np.uint64(64 - _COUNT_BITS)).astype(np.int64)
+
+    def count(batches):
+        hasher, counts = WordHasher(), np.zeros(cells, np.uint32)
+        for b in batches:
+            s, _, _ = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
+            np.add.at(counts, bucket(s), np.uint32(1))
+        some = [i for i in range(_COUNT_SLICES) if counts[i * width : (i + 1) * width].any()]
+        yield {"slice": some, "c": [counts[i * width : (i + 1) * width].tobytes() for i in some]}
+
+    def ranks(batches):
+        sums = {}
+        for b in batches:
+            for i, c in zip(b["slice"], b["c"]):
+                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+        # 0 where one node has the bucket, then eight steps for each doubling
+        yield {"slice": list(sums), "c": [np.minimum(255, np.ceil(8 * np.log2(np.maximum(x, 1)))).astype(np.uint8).tobytes() for x in sums.values()]}
+
+    counted = map_rows(held, count, "slice long, c binary", rows=64).repartition("slice")
+    rank = np.zeros(cells, np.uint8)
+    for r in map_rows(counted, ranks, "slice long, c binary", rows=64).collect():
+        rank[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.c, np.uint8)
+    slack = 1 + 1e-9
+
+    def prefixes(batches):
+        hasher, weights = WordHasher(), weights_of()
+        names = ("s", "node", "size", "before", "w", "short")
+        for b in batches:
+            out = {x: [] for x in names}
+            s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
+            w, order, ends = weights.of(s, tf), rank[bucket(s)], np.cumsum(own)
+            for node, n, end in zip(b["node"], own.tolist(), ends.tolist()):
+                at = np.arange(end - n, end)[w[end - n : end] > 0]
+                at = at[np.lexsort((s[at], order[at]))]
+                if not len(at):
+                    continue
+                upto = np.cumsum(w[at])
+                size, before = float(upto[-1]), upto - w[at]
+                on = (before <= (1 - threshold) * size * slack) & (order[at] > 0)
+                at, before = at[on], before[on]
+                out["s"] += s[at].view(np.int64).tolist()
+                out["before"] += before.tolist()
+                out["w"] += w[at].tolist()
+                out["short"] += (before <= (1 - threshold) / (1 + threshold) * size * slack).tolist()
+                out["node"] += [node] * len(at)
+                out["size"] += [size] * len(at)
+            yield out
+
+    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, w double, short boolean", rows=64)
+    tokens = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+    # the component with most nodes at a shingle is one side only, so that one large class does not meet itself
+    by_root = tokens.groupBy("s", "root").agg(F.count("*").alias("n"))
+    major = by_root.groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).filter("roots > 1").select("s", F.col("top.root").alias("major"))
+    tokens = tokens.join(major, "s")
+    x, y = tokens.filter("root <> major").alias("x"), tokens.alias("y")
+    need = F.lit(threshold / (1 + threshold) / slack) * (F.col("x.size") + F.col("y.size"))
+    most = F.least("x.before", "y.before") + F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
+    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (most >= need)
+    meet &= (F.col("x.short") & (F.col("x.size") <= F.col("y.size") * slack)) | (F.col("y.short") & (F.col("y.size") <= F.col("x.size") * slack))
+    meet &= F.least("x.size", "y.size") * slack >= F.lit(threshold) * F.greatest("x.size", "y.size")
+    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 12, rows: int = 2, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id for every row; class_id is the smallest doc_id of the class.
 
@@ -193,11 +273,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     # only rows of bands that several nodes share go on
     bands_ = materialize(shared.join(several.select("key", "lo", "hi"), "key"), "bands")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts_at(nodes: DataFrame) -> DataFrame:
         wanted = first.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
         held = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-        held = materialize(held, "texts")
+        return materialize(held, "texts")
+
+    def verified(pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+        if held is None:
+            held = texts_at(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         rows_ = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
         def check(batches):
@@ -215,7 +298,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
                 good = [weighted_jaccard(vector(x, t), vector(y, u)) >= threshold for x, y, t, u in zip(b["a"], b["b"], b["ta"], b["tb"])]
                 yield {"a": [x for x, g in zip(b["a"], good) if g], "b": [x for x, g in zip(b["b"], good) if g]}
 
-        return materialize(map_rows(rows_, check, "a long, b long", rows=64), "links")
+        found = materialize(map_rows(rows_, check, "a long, b long", rows=64), "links")
+        discard(held)
+        return found
 
     def pairs_with(x: str) -> DataFrame:
         return bands_.filter(f"node <> {x}").select(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
@@ -241,6 +326,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
             continue
         links = links.unionByName(more)
         roots = components(links)
+    # bands of up to three nodes have met whole: two of them met everyone
+    part = bands_.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    left = part.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("n > 3 AND r0 <> r1")
+    nodes = materialize(part.join(left.select("key"), "key", "left_semi").select("node").distinct(), "open")
+    if not nodes.isEmpty():
+        release(docs.sparkSession)
+        held = texts_at(nodes)
+        pairs = materialize(prefix_pairs(held, roots, lambda: Weights(*arr, n), threshold, k), "pairs")
+        links = links.unionByName(verified(pairs, held))
+        roots = components(links)
     named = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = named.join(least, "root").select("node", "class_id")

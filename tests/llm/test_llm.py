@@ -216,6 +216,24 @@ def test_near_duplicates_edges(table):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_crowded_band(spark):
+    """300 unlike texts around one template hide ten near copies; every band of theirs holds all of them or few."""
+    r = random.Random(3)
+    vocab = [f"w{i}" for i in range(20_000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    template = say(320)
+    own = [say(70).split() for _ in range(300)]
+    texts = [f"{template} {' '.join(x)}" for x in own]
+    for i in range(10):
+        x = list(own[i])
+        x[5::10] = say(7).split()
+        texts.append(f"{template} {' '.join(x)}")
+    rows = [*enumerate(texts), *((1000 + i, f"f{i}") for i in range(29_690))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).filter("doc_id < 1000").collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(310)}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
