@@ -19,7 +19,7 @@ from collections.abc import Callable
 from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, discard, map_rows, materialize, mix64, powers, release, shingle_hashes, texts_of
@@ -228,14 +228,15 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 12, rows: int = 2, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id for every row; class_id is the smallest doc_id of the class.
+    """doc_id, class_id, text_hash, root for every row; class_id is the smallest doc_id of the class, root tells classes apart whose class_id is one.
 
     Two documents are linked where the weighted Jaccard similarity of their k-word shingles reaches the
     threshold; classes are the components of the links. A pair at similarity s shares a band with probability
     1 - (1 - s ** rows) ** bands: 0.999995 at 0.8. Documents without words, null texts included, are one class.
-    A null doc_id is ordered first. An empty table gives an empty result.
+    Rows of one doc_id, or of none, are told apart by a 64-bit hash of their text. class_id is null where all
+    rows of a class have a null doc_id. An empty table gives an empty result.
     """
-    texts = texts_of(docs, id_col, text_col)
+    texts = texts_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     n, common = common_shingles(texts.select("text"), k)
     arr = np.array([s for s, _ in common], np.int64).view(np.uint64), np.array([d for _, d in common], np.float64)
 
@@ -263,19 +264,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
                     out[:, i] = key
                 for d, x in zip(np.flatnonzero(some).tolist(), out.view(np.int64).tolist()):
                     keys[d] = x
-            yield {"doc_id": b["doc_id"], "node": content_hashes(words, counts).tolist(), "keys": keys}
+            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": content_hashes(words, counts).tolist(), "keys": keys}
 
-    signed = materialize(map_rows(texts, sign, "doc_id long, node long, keys array<long>", rows=128), "signed")
-    members = signed.select("doc_id", "node")
-    first = members.groupBy("node").agg(F.min("doc_id").alias("first"))
+    signed = materialize(map_rows(texts, sign, "doc_id long, text_hash long, node long, keys array<long>", rows=128), "signed")
+    members = signed.select("doc_id", "text_hash", "node")
+    first = members.groupBy("node").agg(F.min(_ordered()).alias("first"))
     shared = signed.select("node", F.explode("keys").alias("key")).distinct()
     several = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1")
     # only rows of bands that several nodes share go on
     bands_ = materialize(shared.join(several.select("key", "lo", "hi"), "key"), "bands")
 
     def texts_at(nodes: DataFrame) -> DataFrame:
-        wanted = first.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-        held = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+        wanted = first.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.text_hash")
+        held = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.text_hash == wanted.text_hash)).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
         return materialize(held, "texts")
 
     def verified(pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -337,12 +338,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
         links = links.unionByName(verified(pairs, held))
         roots = components(links)
     named = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    classes = named.join(least, "root").select("node", "class_id")
-    return members.join(classes, "node").select("doc_id", "class_id")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    classes = named.join(least, "root").select("node", "root", F.col("least.doc_id").alias("class_id"))
+    return members.join(classes, "node").select("doc_id", "class_id", "text_hash", "root")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all their columns, that stand for their class; of several rows of one doc_id one stays."""
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+def _ordered() -> Column:
+    """Rows by doc_id, those without one last, then by the hash of their text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, all its columns, for every class: of its smallest doc_id, and of equal texts there any one."""
+    same = classes.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = same.groupBy("root").agg(F.min(F.struct(_ordered().alias("row"), "n")).alias("k")).select("k.row.doc_id", "k.row.text_hash", "k.n")
+    kept = materialize(kept, "kept")
+    own = docs.withColumns({"_kept_id": F.col(id_col).cast("long"), "_kept_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+
+    def of(these: DataFrame) -> DataFrame:
+        return own.join(these, own["_kept_id"].eqNullSafe(these["doc_id"]) & (own["_kept_hash"] == these["text_hash"]), "left_semi")
+
+    out, several = of(kept.filter("n = 1")), kept.filter("n > 1")
+    if not several.isEmpty():
+        out = out.unionByName(of(several).dropDuplicates(["_kept_id", "_kept_hash"]))
+    return out.drop("_kept_id", "_kept_hash")

@@ -42,7 +42,7 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

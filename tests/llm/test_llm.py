@@ -234,6 +234,22 @@ def test_near_duplicates_in_a_crowded_band(spark):
     assert got == {i: i - 300 if i >= 300 else i for i in range(310)}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Unlike texts under one doc_id and under none, each with near copies elsewhere."""
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(r.choice(vocab) for _ in range(100)) for _ in range(40)]
+    near = [t.rsplit(" ", 1)[0] for t in texts]
+    ids = [7] * 20 + [None] * 20
+    rows = [*zip(ids, texts), *((100 + i, t) for i, t in enumerate(near)), (None, texts[30]), (7, texts[3]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, more string").repartition(3)
+    found = near_dup.near_duplicates(df)
+    want = [*((7, 7) for _ in range(21)), *((100 + i, 7 if i < 20 else 100 + i) for i in range(40)), *((None, 120 + i) for i in range(20)), (None, 130), (None, None), (None, None)]
+    assert collected(found, "doc_id", "class_id") == sorted(want, key=repr)
+    kept = [(r.doc_id, r.text or "") for r in near_dup.keep_one(df, found).collect()]
+    assert sorted(kept, key=repr) == sorted([*((7, t) for t in texts[:20]), *((120 + i, t) for i, t in enumerate(near[20:])), (None, "")], key=repr)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
