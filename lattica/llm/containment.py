@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from math import ceil, log
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ def bands_for(similarity: float, rows: int, miss: float) -> int:
 class SizePartition:
     def __init__(self, upper: int, lower: int, items: list[int], sets: list[np.ndarray], threshold: float, rows: int, miss: float):
         self.upper, self.rows = upper, rows
-        shared = threshold * lower
+        self.least = shared = threshold * lower
         self.bands = bands_for(shared / (2 * upper + lower - shared), rows, miss)
         if self.bands * rows > len(_HASHES):
             raise ValueError("too many hashes: take fewer rows a band or a higher threshold")
@@ -52,6 +53,9 @@ class SizePartition:
 
     def candidates(self, shingles: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs that share a band in some window."""
+        # a text of fewer shingles than an item has to share holds none
+        long = np.flatnonzero(counts >= self.least * (1 - 1e-9))
+        shingles, counts = shingles[np.repeat(counts >= self.least * (1 - 1e-9), counts)], counts[long]
         blocks = -(-counts // self.upper)
         doc = np.repeat(np.arange(len(counts)), blocks)
         if not len(doc):
@@ -71,7 +75,7 @@ class SizePartition:
             for i in hit.tolist():
                 j = int(lo[i])
                 while j < len(known) and known[j] == keys[i]:
-                    out.add((int(doc[i]), int(items[j])))
+                    out.add((int(long[doc[i]]), int(items[j])))
                     j += 1
         return out
 
@@ -197,12 +201,35 @@ LICENSE_NOTICES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "LGPL-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-library-notice": "you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    # no licence but the claim that there is none; of fewer than k words, so found as these very words
+    "all-rights-reserved": "All rights reserved.",
 }
 
+#: Whole texts of licences, each named by its file.
+LICENSE_TEXTS = {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, threshold: float = 0.8, rows: int = 1, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment: a row for every text and template that it holds. Templates are a parameter; nulls and empty texts match nothing."""
-    templates = LICENSE_NOTICES if templates is None else templates
+    templates = LICENSE_NOTICES | LICENSE_TEXTS if templates is None else templates
     names = sorted(templates)
     index = ContainmentIndex(list(enumerate(templates[n] for n in names)), k=k, threshold=threshold, rows=rows, miss=miss)
     found = find_items(docs, [index], id_col, text_col)

@@ -291,6 +291,17 @@ def test_licenses(spark):
     assert collected(containment.scan_licenses(docs), "doc_id", "license") == [(1, "MIT"), (3, "Apache-2.0")]
 
 
+def test_license_texts_and_notices(spark):
+    cut = containment.LICENSE_TEXTS["GPL-3-text"].split()
+    notice = "code\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"
+    rows = [(1, "z " * 300 + " ".join(cut[: len(cut) * 9 // 10])), (2, " ".join(cut[: len(cut) // 2])), (3, "(c) Someone. All rights reserved."), (4, notice), (5, "x " * 50)]
+    rows += [(10 + i, t) for i, t in enumerate(containment.LICENSE_TEXTS.values())]
+    found = set(collected(containment.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "license"))
+    names = [(10 + i, n) for i, n in enumerate(containment.LICENSE_TEXTS)]
+    assert {(1, "GPL-3-text"), (3, "all-rights-reserved"), (4, "AGPL-notice"), *names} <= found
+    assert not {(2, "GPL-3-text"), (4, "LGPL-notice")} & found and not any(d == 5 for d, _ in found)
+
+
 def test_toxicity_grammar():
     lex = toxicity.Lexicon({"idiot$": 2.0, "lowei": 1.5})
     weigh = lambda t: toxicity.clause_weight(toxicity.clause_symbols(toxicity.WORD.findall(t), lex))
