@@ -30,16 +30,19 @@ def bands_for(similarity: float, rows: int, miss: float) -> int:
 class SizePartition:
     def __init__(self, upper: int, lower: int, items: list[int], sets: list[np.ndarray], threshold: float, rows: int, miss: float):
         self.upper, self.rows = upper, rows
-        self.least = shared = threshold * lower
-        self.bands = bands_for(shared / (2 * upper + lower - shared), rows, miss)
-        if self.bands * rows > len(_HASHES):
-            raise ValueError("too many hashes: take fewer rows a band or a higher threshold")
+        self.least = threshold * lower
+        self.bands = self.bands_of(upper, lower, threshold, rows, miss)
         self.tables = []
         for b in range(self.bands):
             keys = np.array([self.key([int(((s * np.uint64(a)) >> np.uint64(32)).min()) for a in self.odd(b)])[0] for s in sets], np.uint64)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], np.array(items)[order]))
 
+    @staticmethod
+    def bands_of(upper: int, lower: int, threshold: float, rows: int, miss: float) -> int:
+        shared = threshold * lower
+        return bands_for(shared / (2 * upper + lower - shared), rows, miss)
+
     def odd(self, band: int) -> list[int]:
         return _HASHES[band * self.rows : (band + 1) * self.rows]
 
@@ -95,14 +98,19 @@ class ContainmentIndex:
         self.sets: list[np.ndarray] = []
         self.short: dict[int, dict[int, list[int]]] = {}
         sized: dict[int, list[int]] = {}
+        named: list[int] = []
         for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
             own = words[end - n : end]
             self.sets.append(np.unique(shingle_hashes(own, np.array([n]), k)[0]))
             if 0 < n < k:
                 self.short.setdefault(n, {}).setdefault(int(shingle_hashes(own, np.array([n]), n)[0][0]), []).append(i)
             elif n >= k:
-                sized.setdefault((n - k + 1 - 1).bit_length(), []).append(i)
-        if sum(map(len, self.sets)) > self.MAX_SHINGLES:
+                c, own = (n - k + 1 - 1).bit_length(), len(self.sets[i])
+                # of few distinct shingles for its length, such as one word repeated: too unlike its window for bands
+                few = 8 * own < 1 << c or SizePartition.bands_of(1 << c, own, threshold, rows, miss) * rows > len(_HASHES)
+                (named if few else sized.setdefault(c, [])).append(i)
+        self.named = [(self.sets[i], i) for i in named]
+        if len(items) > 1 and sum(map(len, self.sets)) > self.MAX_SHINGLES:
             raise ValueError("too many shingles for one index")
         self.partitions = []
         for c, own in sorted(sized.items()):
@@ -117,6 +125,8 @@ class ContainmentIndex:
         for p in self.partitions:
             found |= p.candidates(shingles, n)
         out, ends = [], np.cumsum(n)
+        for want, i in self.named:
+            found |= {(int(d), i) for d in np.searchsorted(ends, np.flatnonzero(np.isin(shingles, want)), side="right")}
         for d, i in sorted(found):
             own, want = shingles[ends[d] - n[d] : ends[d]], self.sets[i]
             share = float(np.isin(want, own).mean())
@@ -133,9 +143,9 @@ class ContainmentIndex:
 
 def index_batches(items: DataFrame, id_col: str, text_col: str, **options) -> list[ContainmentIndex]:
     """Read the items, a bounded number of shingles at a time; each index fits a task."""
-    out, own, size = [], [], 0
+    out, own, size, hasher = [], [], 0, WordHasher()
     for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("i").isNotNull()).toLocalIterator():
-        n = len((r.t or "").split()) + 1
+        n = int(hasher.words([r.t or ""])[1][0]) + 1
         if own and size + n > ContainmentIndex.MAX_SHINGLES // 4:
             out.append(ContainmentIndex(own, **options))
             own, size = [], 0

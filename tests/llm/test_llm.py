@@ -286,6 +286,15 @@ def test_containment_edges(spark, table):
     assert containment.find_items(table[0], containment.index_batches(items.limit(0), "item_id", "text")).count() == 0
 
 
+def test_containment_of_repetitive_and_large_items(spark, monkeypatch):
+    round_ = " ".join("a b c d e f g h".split() * 90)
+    items = spark.createDataFrame([(1, "la " * 100), (2, round_), (3, ".".join(f"p{i}" for i in range(60))), (4, ".".join(f"q{i}" for i in range(60)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so la la la la la la"), (2, "x " * 9 + round_), (3, " ".join(f"p{i}" for i in range(60))), (4, "none of it"), (5, " ".join(f"q{i}" for i in range(60)))], "doc_id long, text string")
+    monkeypatch.setattr(containment.ContainmentIndex, "MAX_SHINGLES", 40)
+    indexes = containment.index_batches(items, "item_id", "text")
+    assert len(indexes) == 4 and collected(containment.find_items(docs, indexes), "doc_id", "item_id") == [(1, 1), (2, 2), (3, 3), (5, 4)]
+
+
 def test_licenses(spark):
     docs = spark.createDataFrame([(1, "code\nReleased under the MIT License."), (2, "a licensed driver"), (3, "x " * 900 + "Licensed under the Apache License, Version 2.0. " + "y " * 90), (4, None)], "doc_id long, text string")
     assert collected(containment.scan_licenses(docs), "doc_id", "license") == [(1, "MIT"), (3, "Apache-2.0")]
