@@ -641,7 +641,7 @@ def cdc_stream_upsert(db):
 def cdc_dead_letter(db):
     e = _events(db)
     bad = e.filter("event_id < 10").select(F.concat(F.lit("broken "), "event_id").alias("value"))
-    return _streamed(db, cdc.encode(e.filter("event_id < 100"), "db", "events", "INSERT").unionByName(bad), ["event_id"])[1].select(col("value").alias("raw"))
+    return _streamed(db, cdc.encode(e, "db", "events", "INSERT").unionByName(bad), ["event_id"])[1].select(col("value").alias("raw"))
 
 
 # procedures

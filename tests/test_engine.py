@@ -92,3 +92,12 @@ def test_import(spark, tmp_path):
     job = Import(spark, "t")
     job.run(spark.range(10), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10 and job.progress()[0] >= 1
+
+
+def test_dead_letters_among_all_events(spark, sf_dir, monkeypatch):
+    from lattica import queries
+
+    seen, streamed = [], queries._streamed
+    monkeypatch.setattr(queries, "_streamed", lambda *a: seen.append(streamed(*a)) or seen[-1])
+    queries.QUERIES["cdc_dead_letter"](spark, sf_dir)
+    assert seen[0][0].count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
