@@ -3,23 +3,27 @@
 Every LENGTH-byte window has an anchor, the least hash of its GRAM-byte strings, and equal windows have
 the same anchor at the same place. So windows that repeat meet under their anchor's hash:
 
-1. anchors of all texts with a hash of their context, the bytes of all windows around them;
-2. anchors that occur once are done; equal contexts form a class: in a class of several all windows repeat, so one copy
-   stands for it, and an anchor with one class needs no more;
-3. the contexts of anchors of several classes that belong together (same smallest text) are cut from their texts as runs and
+1. hashes of anchors are counted with partial sums; those that occur once are done before anything else is shipped;
+2. anchors that repeat get a hash of their context, the bytes of all windows around them; equal contexts form a class,
+   which one copy stands for, with the number of copies as its weight;
+3. the contexts of anchors that belong together (same smallest text) are cut from their texts as runs and
    come to one task as one block; blocks hold whole groups and are bounded in size;
 4. a block's suffixes are sorted, and threshold-bounded interval expansion on its Burrows-Wheeler transform
    finds the boundaries between suffixes whose common prefix is shorter than LENGTH: breadth first, by
-   backward extension, in order of the prefix length, ending at LENGTH. What lies between two boundaries shares LENGTH bytes;
+   backward extension, in order of the prefix length, ending at LENGTH. What lies between two boundaries shares
+   LENGTH bytes, and repeats if it has two places or one of a weight above 1;
 5. the repeated window starts of a class hold at every occurrence of it, and cover bytes of its text.
 
-An anchor with more than GROUP_MAX classes would make a block too large: its windows are grouped by their own hash
-instead, counted with partial sums, and so never come together in one task.
+A group of more than GROUP_MAX contexts is split: first by anchor; the contexts of one anchor by runs of PART neighbouring
+window starts and the bytes that these windows share, so that windows that are equal stay together. Such a group goes to
+a block like any other. One of still more than GROUP_MAX contexts, which all share LENGTH - PART + 1 bytes, is split into
+single windows; there all members of a group are one string, and its number of places is its weight.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, mix64, powers, release
+from .common import discard, free_name, map_rows, materialize, mix64, powers, release
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SPAN + 1, anchor]
-GROUP_MAX = 16_000  # contexts in a block's group
-BLOCK_BYTES = 3_000_000
+GROUP_MAX = 3_000  # contexts in a block's group
+BLOCK_BYTES = 700_000  # a block is full then; its last group may go beyond by GROUP_MAX contexts
 STRETCH = 24_000  # bytes of texts whose anchors are found together
-PART = 22  # window starts that share a core, where an anchor has too many contexts
+PART = 21  # window starts that share a core, where an anchor has too many contexts
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -178,23 +182,28 @@ def boundaries(order: np.ndarray, starts: np.ndarray, codes: np.ndarray, length:
     return found[:n]
 
 
-def repeated_starts(runs: list[bytes], groups: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every run the places where a string of `length` bytes starts that also starts at another place of the same group."""
+def repeated_starts(runs: list[bytes], groups: np.ndarray, length: int = LENGTH, heavy: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For every run the places where a string of `length` bytes starts that also starts at another place of the same group.
+
+    heavy: for every run flags of its places (one more than it has bytes) that stand for several."""
     if not runs:
         return []
-    order, starts, codes, run, _ = suffix_classes(runs, length)
+    order, starts, codes, run, end = suffix_classes(runs, length)
     edge = boundaries(order, starts, codes, length)
     cls = np.cumsum(edge)
-    alone = edge & np.append(edge[1:], True)
-    x = np.flatnonzero(~alone)
+    weight = None if heavy is None else np.concatenate(heavy)
+    x = np.flatnonzero(~(edge & np.append(edge[1:], True)) | (False if weight is None else weight[order]))
     pos = order[x]
+    pos, x = pos[end[pos] - pos >= length], x[end[pos] - pos >= length]
     key = cls[x].astype(np.int64) * (int(groups.max()) + 1) + groups[run[pos]]
     o = np.argsort(key, kind="stable")
     k = key[o]
-    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-    single = new & np.append(new[1:], True) if len(k) else new
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.append(at, len(k)))
+    if weight is not None and len(at):
+        count = count + np.maximum.reduceat(weight[pos[o]], at)
     out = np.zeros(len(codes), bool)
-    out[pos[o[~single]]] = True
+    out[pos[o[np.repeat(count > 1, np.diff(np.append(at, len(k))))]]] = True
     lengths = np.array([len(r) + 1 for r in runs])
     return np.split(out, np.cumsum(lengths)[:-1])
 
@@ -205,80 +214,90 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+def _anchor_names(texts: DataFrame) -> DataFrame:
+    """(h, n): hashes of anchors and how often they occur, counted in small batches."""
+
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in anchors_of([t.encode() for t in b["text"]]))]), return_counts=True)
+            yield {"h": h.view(np.int64), "n": n}
+
+    return map_rows(texts.select("text"), run, "h long, n long", rows=1024)
+
+
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(h, s, key): hash and context hash of every anchor, and its text's key."""
+    """(h, s, key, at, n): hash and context hash of every anchor, its text's key, its place and in how many equal texts of a batch it stands."""
 
     def run(batches):
         for b in batches:
-            keys, hs, ss = [], [], []
-            texts = [t.encode() for t in b["text"]]
-            for key, data, (at, h) in zip(b["key"], texts, anchors_of(texts)):
-                if len(at):
-                    hs.append(h)
-                    ss.append(contexts(data, at))
-                    keys.append(np.full(len(at), key))
-            if hs:
-                yield {"h": np.concatenate(hs).view(np.int64), "s": np.concatenate(ss).view(np.int64), "key": np.concatenate(keys)}
+            copies, first = Counter(b["key"]), dict(zip(b["key"], b["text"]))
+            texts = [t.encode() for t in first.values()]
+            own = [(k, d, *x) for k, d, x in zip(first, texts, anchors_of(texts)) if len(x[0])]
+            if own:
+                yield {
+                    "h": np.concatenate([h for *_, h in own]).view(np.int64),
+                    "s": np.concatenate([contexts(d, at) for _, d, at, _ in own]).view(np.int64),
+                    "key": np.concatenate([np.full(len(at), k) for k, _, at, _ in own]),
+                    "at": np.concatenate([at for _, _, at, _ in own]),
+                    "n": np.concatenate([np.full(len(at), copies[k]) for k, _, at, _ in own]),
+                }
 
-    return map_rows(texts.select("key", "text"), run, "h long, s long, key long", rows=128)
+    return map_rows(texts.select("key", "text"), run, "h long, s long, key long, at int, n int", rows=1024)
 
 
-def _places(data: bytes, own: tuple[np.ndarray, np.ndarray], wanted: dict[tuple[int, int], object]) -> list[tuple[int, object]]:
-    """(place, value) of every anchor of the text (own: all of them) whose (hash, context) is wanted."""
-    at, h = own
-    names = {k for k, _ in wanted}
-    hit = np.flatnonzero(np.isin(h.view(np.int64), np.fromiter(names, np.int64, len(names))))
-    at, h = at[hit], h[hit]
-    s = contexts(data, at).view(np.int64).tolist()
-    return [(a, wanted[k]) for a, k in zip(at.tolist(), zip(h.view(np.int64).tolist(), s)) if k in wanted]
+_RUN = "grp long, key long, start int, data binary, h array<long>, s array<long>, at array<int>, many array<boolean>"
 
 
 def _runs(joined: DataFrame) -> DataFrame:
-    """Runs of contexts, by group: merged where they touch, with the anchors whose context occurs once."""
+    """(key, text, items) to runs of contexts by group, merged where they touch, with the anchors in them; contexts without a group one by one."""
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("grp", "key", "start", "data", "h", "s", "at")}
-            texts = [t.encode() for t in b["text"]]
-            for key, data, own_anchors, items in zip(b["key"], texts, anchors_of(texts), b["items"]):
-                found = _places(data, own_anchors, {(i["h"], i["s"]): i for i in items})
-                by: dict[int, list] = {}
-                for a, i in found:
-                    by.setdefault(i["grp"], []).append((a, i))
+            out = {c: [] for c in ("grp", "key", "start", "data", "h", "s", "at", "many")}
+
+            def add(grp, key, data, part):
+                start, end = max(0, part[0]["at"] - SPAN + 1), part[-1]["at"] + LENGTH
+                for c, v in zip(out, (grp, key, start, data[start:end], [i["h"] for i in part], [i["s"] for i in part], [i["at"] - start for i in part], [i["cnt"] > 1 for i in part])):
+                    out[c].append(v)
+
+            for key, text, items in zip(b["key"], b["text"], b["items"]):
+                data, by = text.encode(), {}
+                for i in sorted(items, key=lambda i: i["at"]):
+                    if i["grp"] is None:
+                        add(None, key, data, [i])
+                    else:
+                        by.setdefault(i["grp"], []).append(i)
                 for grp, own in by.items():
                     at = 0
-                    while at < len(own):
-                        to, end = at + 1, own[at][0] + LENGTH
-                        while to < len(own) and own[to][0] - SPAN + 1 <= end:
-                            end = own[to][0] + LENGTH
-                            to += 1
-                        start = max(0, own[at][0] - SPAN + 1)
-                        part = [(a, i) for a, i in own[at:to] if i["cnt"] == 1]
-                        for c, v in zip(out, (grp, key, start, data[start:end], [i["h"] for _, i in part], [i["s"] for _, i in part], [a - start for a, _ in part])):
-                            out[c].append(v)
-                        at = to
+                    for to in range(1, len(own) + 1):
+                        if to == len(own) or own[to]["at"] - SPAN + 1 > own[to - 1]["at"] + LENGTH:
+                            add(grp, key, data, own[at:to])
+                            at = to
             yield out
 
-    return map_rows(joined, run, "grp long, key long, start int, data binary, h array<long>, s array<long>, at array<int>", rows=64)
+    return map_rows(joined, run, _RUN, rows=64)
 
 
 def _blocks(runs: DataFrame) -> DataFrame:
-    """(h, s, starts): flat pairs of window starts relative to the anchor, of contexts that occur once and have repeated windows."""
+    """(h, s, starts): flat pairs of repeated window starts relative to the anchor."""
 
     def solve(rows):
         ids: dict[int, int] = {}
         groups = [ids.setdefault(r[0], len(ids)) for r in rows]
-        out, seen = {"h": [], "s": [], "starts": []}, set()
-        for r, f in zip(rows, repeated_starts([r[3] for r in rows], np.array(groups))):
+        out, heavy = {"h": [], "s": [], "starts": []}, []
+        for r in rows:
+            mark = np.zeros(len(r[3]) + 1, bool)
+            for a, many in zip(r[6], r[7]):
+                if many:
+                    mark[max(0, a - SPAN + 1) : a + 1] = True
+            heavy.append(mark)
+        for r, f in zip(rows, repeated_starts([r[3] for r in rows], np.array(groups), LENGTH, heavy)):
             if not f.any():
                 continue
             for h, s, a in zip(*r[4:7]):
-                if (h, s) in seen:
-                    continue
                 lo = max(0, a - SPAN + 1)
                 own = f[lo : a + 1]
                 if own.any():
-                    seen.add((h, s))
                     out["h"].append(h)
                     out["s"].append(s)
                     out["starts"].append([x + lo - a for x in _ranges(own)])
@@ -287,7 +306,7 @@ def _blocks(runs: DataFrame) -> DataFrame:
     def run(batches):
         rows, size, group, before = [], 0, None, None
         for b in batches:
-            for r in zip(*(b[c] for c in ("grp", "key", "start", "data", "h", "s", "at"))):
+            for r in zip(*(b[c] for c in ("grp", "key", "start", "data", "h", "s", "at", "many"))):
                 if r[:3] == before:  # repeated input rows
                     continue
                 before = r[:3]
@@ -303,105 +322,106 @@ def _blocks(runs: DataFrame) -> DataFrame:
     return map_rows(runs.repartition("grp").sortWithinPartitions("grp", "key", "start"), run, "h long, s long, starts array<int>")
 
 
-def _windows(hot: DataFrame, joined_with) -> tuple[DataFrame, DataFrame]:
-    """(h, s, starts) for anchors with too many contexts, in two steps of counting with partial sums; and the table to drop when it is read.
+def _parts(hot: DataFrame, width: int, wanted: bool) -> DataFrame:
+    """(w, v, h, s, off, many) for every run of `width` window starts of the contexts in hot (or those in `offs`): a 128-bit hash of the bytes that its windows share."""
 
-    Windows that start within PART bytes of each other share a core of LENGTH - PART + 1 bytes; where no other
-    occurrence has the core, none has a window. Of the rest every window is counted by its own 128-bit hash.
-    A window holds several anchors and comes with each of them: rows count under one anchor and place only.
-    """
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in ("w", "v", "h", "s", "off", "many")}
+            for data, h, s, a, many, offs in zip(b["data"], b["h"], b["s"], b["at"], b["many"], b["offs"] if wanted else [None] * len(b["h"])):
+                for off in offs or range(1 - SPAN, 1, PART):
+                    for o in range(off, min(off + PART, 1), width) if wanted else [off]:
+                        # from the last window's start to the first one's end; beyond the text's ends no window is whole
+                        lo, hi = a + min(o + width - 1, 0), a + o + LENGTH
+                        if lo < 0 or hi > len(data):
+                            continue
+                        x = xxhash.xxh3_128_intdigest(data[lo:hi])
+                        for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), h, s, o, many)):
+                            out[c].append(v)
+            yield out
+
+    return map_rows(hot, run, "w long, v long, h long, s long, off int, many boolean", rows=64)
+
+
+def _split(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(h, s, starts) of contexts whose anchors have too many, by the bytes that PART windows share; and tables to drop when it is read."""
+    same = ["w", "v", "h", "off"]
 
-    def counted(n_parts: bool):
-        def run(batches):
-            for b in batches:
-                out = {c: [] for c in ("w", "v", "cnt", "h", "s", "off")}
-                texts = [t.encode() for t in b["text"]]
-                for data, own, items in zip(texts, anchors_of(texts), b["items"]):
-                    for a, i in _places(data, own, {(i["h"], i["s"]): i for i in items}):
-                        for off in range(1 - SPAN, 1, PART) if n_parts else [o for part in i["parts"] for o in range(part, min(part + PART, 1))]:
-                            # a core reaches from the last to the first window's common bytes; cut off by the text's ends it is kept
-                            lo, hi = (a + min(off + PART - 1, 0), a + off + LENGTH) if n_parts else (a + off, a + off + LENGTH)
-                            if not n_parts and (lo < 0 or hi > len(data)):
-                                continue
-                            if n_parts and (lo < 0 or a + off + LENGTH > len(data) + PART):
-                                continue
-                            x = xxhash.xxh3_128_intdigest(data[lo : min(hi, len(data))])
-                            for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), i["cnt"], i["h"], i["s"], off)):
-                                out[c].append(v)
-                yield out
-
-        return run
-
-    def again(rows: DataFrame) -> DataFrame:
-        same = ["w", "v", "h", "off"]
-        # where every context occurs more than once nothing is open
-        several = rows.groupBy(*same).agg(F.sum("cnt").alias("n"), F.min("cnt").alias("least")).filter("n > 1 and least = 1").select(*same)
-        return rows.join(several, same, "left_semi").select("h", "s", "cnt", "off").distinct()
-
-    schema = "w long, v long, cnt long, h long, s long, off int"
-    first = hot.select("h", "s", "cnt", F.col("k1").alias("key"))
-    cores = materialize(map_rows(joined_with(first.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt")).alias("items"))), counted(True), schema, rows=32), "cores")
-    parts = again(cores).groupBy("h", "s").agg(F.collect_list("off").alias("parts"))
-    second = first.join(parts, ["h", "s"])
-    rows = map_rows(joined_with(second.groupBy("key").agg(F.collect_list(F.struct("h", "s", "cnt", "parts")).alias("items"))), counted(False), schema, rows=32)
-    rows = materialize(rows, "windows")
-    discard(cores)
-    return again(rows).filter("cnt = 1").groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(F.col("off"), F.col("off") + 1))).alias("starts")), rows
+    def shared(parts: DataFrame, tag: str) -> DataFrame:
+        """Where every context stands for several nothing is open; those have groups of their own."""
+        return materialize(parts.groupBy(*same).agg(F.count("*").alias("members"), F.bool_and("many").alias("all_many")).filter("members > 1 AND NOT all_many").select(*same, "members"), tag)
+
+    hot = materialize(hot.select(F.col("h")[0].alias("h"), F.col("s")[0].alias("s"), F.col("at")[0].alias("at"), F.col("many")[0].alias("many"), "data").dropDuplicates(["h", "s"]), "hot")
+    parts = materialize(_parts(hot, PART, False), "parts")
+    groups = shared(parts, "part-groups")
+    members = materialize(parts.join(groups, same).select("h", "s", "off", "members", F.xxhash64(*same).alias("grp")), "members")
+    lo = F.greatest(F.lit(0), F.col("at") + F.col("off"))
+    hi = F.least(F.octet_length("data"), F.col("at") + F.least(F.col("off") + (PART - 1), F.lit(0)) + LENGTH)
+    few = members.filter(F.col("members") <= GROUP_MAX).join(hot, ["h", "s"])
+    few = few.select("grp", F.xxhash64("h", "s").alias("key"), F.col("off").alias("start"), F.substring("data", lo + 1, hi - lo).alias("data"), F.array("h").alias("h"), F.array("s").alias("s"), F.array(F.col("at") - lo).alias("at"), F.array("many").alias("many"))
+    found, drop = _blocks(few), [hot, parts, groups, members]
+    many = members.filter(F.col("members") > GROUP_MAX)
+    if not many.isEmpty():
+        single = materialize(_parts(many.groupBy("h", "s").agg(F.collect_list("off").alias("offs")).join(hot, ["h", "s"]), 1, True), "windows")
+        groups = shared(single, "window-groups")
+        found = found.unionByName(single.filter("NOT many").join(groups, same).select("h", "s", F.array(F.col("off"), F.col("off") + 1).alias("starts")))
+        drop += [single, groups]
+    return found, drop
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """texts (doc_id, key, text), key a hash of the text: (key, items) with the repeated window starts of the text's anchors, null where all repeat."""
+    """texts (doc_id, key, text), key a hash of the text: (key, starts), flat [from, to) pairs of the repeated window starts of a text, in a table of the shared folder."""
     spark = texts.sparkSession
-    every = materialize(_anchor_rows(texts), "all-anchors")
-    once = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    held = materialize(every.join(once, "h", "left_semi"), "anchors")
-    discard(every)
-    del every, once
+    repeat = materialize(_anchor_names(texts).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "repeating")
+    release(spark)
+    held = materialize(_anchor_rows(texts).join(repeat, "h", "left_semi"), "anchors")
+    discard(repeat)
     release(spark)
-    classes = materialize(held.groupBy("h", "s").agg(F.count("*").alias("cnt"), F.min("key").alias("k1")), "classes")
-    # an anchor of one class is done: that class has several copies
-    names = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("k1").alias("label")).filter("n_classes > 1")
+    classes = held.groupBy("h", "s").agg(F.sum("n").alias("cnt"), F.min(F.struct("key", "at")).alias("ref"))
+    classes = materialize(classes.select("h", "s", "cnt", "ref.key", "ref.at"), "classes")
+    names = classes.groupBy("h").agg(F.count("*").alias("n_classes"), F.min("key").alias("label"))
     per_label = names.groupBy("label").agg(F.sum("n_classes").alias("n_label"))
-    # a label's contexts, if they are few enough; else those of one anchor; else single windows
-    own = F.when(F.col("n_label") <= GROUP_MAX, F.col("label")).when(F.col("n_classes") <= GROUP_MAX, F.xxhash64("label", "h"))
-    sized = materialize(classes.join(names.join(per_label, "label").select("h", own.alias("grp")), "h"), "sized")
-    del names, per_label
+    # a label's contexts, if they are few enough; else those of one anchor; else they are split further
+    grp = F.when(F.col("n_label") <= GROUP_MAX, F.col("label")).when(F.col("n_classes") <= GROUP_MAX, F.xxhash64("label", "h"))
+    names = materialize(names.join(per_label, "label").select("h", grp.alias("grp")), "names")
+    del per_label
     release(spark)
-    firsts = texts.groupBy("key").agg(F.min("doc_id").alias("first"))
-
-    def with_texts(lists: DataFrame) -> DataFrame:
-        """Every class has one text to read it from."""
-        return texts.join(lists.join(firsts, "key"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text", "items")
-
-    usual = sized.filter("grp is not null").groupBy(F.col("k1").alias("key")).agg(F.collect_list(F.struct("h", "s", "cnt", "grp")).alias("items"))
-    found = _blocks(_runs(with_texts(usual))).unionByName(classes.filter("cnt > 1").select("h", "s", F.lit(None).cast("array<int>").alias("starts")))
-    hot, windows = sized.filter("grp is null"), None
+    # where contexts are split further, one that stands for several is also decided by itself
+    own = F.when(F.col("grp").isNull() & (F.col("cnt") > 1), F.array(F.lit(None).cast("long"), F.xxhash64("h", "s"))).otherwise(F.array("grp"))
+    items = classes.join(names, "h").withColumn("grp", F.explode(own)).groupBy("key").agg(F.collect_list(F.struct("h", "s", "at", "cnt", "grp")).alias("items"))
+    # every class has one text to read it from
+    lists = materialize(items.join(texts.groupBy("key").agg(F.min("doc_id").alias("first")), "key"), "lists")
+    discard(classes)
+    discard(names)
+    del classes, names, items
+    release(spark)
+    runs = materialize(_runs(texts.join(lists, "key").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("key", "text", "items")), "runs")
+    discard(lists)
+    release(spark)
+    found, drop = _blocks(runs.filter("grp IS NOT NULL")), [runs, held]
+    hot = runs.filter("grp IS NULL")
     if not hot.isEmpty():
-        more, windows = _windows(hot, with_texts)
-        found = found.unionByName(more)
-        del more
+        more, also = _split(hot)
+        found, drop = found.unionByName(more), drop + also
+        del more, also
     found = materialize(found, "repeats")
-    for done in (classes, sized, windows):
+    release(spark)
+    starts = F.transform("starts", lambda x: x + F.col("at"))
+    spans = held.select("h", "s", "key", "at").distinct().join(found, ["h", "s"]).select("key", starts.alias("starts"))
+    spans = materialize(spans.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "spans")
+    for done in (*drop, found):
         discard(done)
-    del usual, hot, classes, sized, windows, done
     release(spark)
-    return held.distinct().join(found, ["h", "s"]).groupBy("key").agg(F.collect_list(F.struct("h", "s", "starts")).alias("items"))
-
-
-def covered(texts: list[bytes], items_of: list[list[dict] | None]) -> list[np.ndarray]:
-    """For each text flat [from, to) pairs of the bytes that repeated windows cover."""
-    out = [np.zeros(0, np.int64)] * len(texts)
-    which = [i for i, items in enumerate(items_of) if items]
-    for i, own in zip(which, anchors_of([texts[i] for i in which])):
-        mark = np.zeros(len(texts[i]) + 1, np.int32)
-        for a, starts in _places(texts[i], own, {(x["h"], x["s"]): x["starts"] for x in items_of[i]}):
-            if starts is None:  # all windows around it
-                starts = (max(-a, 1 - SPAN), min(0, len(texts[i]) - LENGTH - a) + 1)
-            for lo, hi in zip(starts[::2], starts[1::2]):
-                mark[a + lo] += 1
-                mark[a + hi - 1 + LENGTH] -= 1
-        out[i] = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]]).astype(np.int8)))
-    return out
+    return spans
+
+
+def covered(size: int, starts: np.ndarray | None) -> np.ndarray:
+    """Flat [from, to) pairs of the bytes that windows cover which start in these [from, to) pairs."""
+    if starts is None or not len(starts):
+        return np.zeros(0, np.int64)
+    x = np.asarray(starts)
+    mark = np.bincount(x[::2], minlength=size + 1) - np.bincount(x[1::2] - 1 + LENGTH, minlength=size + 1)
+    return np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]]).astype(np.int8)))
 
 
 def kept_bytes(data: bytes, edges: np.ndarray) -> bytes:
@@ -409,12 +429,12 @@ def kept_bytes(data: bytes, edges: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def _with_items(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """docs with the column __items: what its text has of repeats."""
+def _with_starts(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: where windows of its text start that repeat."""
     clear = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), clear.alias("text"), F.xxhash64(clear).alias("key"))
-    spans = repeated_spans(texts).withColumnsRenamed({"key": "__key", "items": "__items"})
-    return docs.withColumn("__key", F.xxhash64(clear)).join(spans, "__key", "left").drop("__key")
+    key, starts = free_name(docs, "key"), free_name(docs, "starts")
+    spans = repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), clear.alias("text"), F.xxhash64(clear).alias("key")))
+    return docs.withColumn(key, F.xxhash64(clear)).join(spans.withColumnsRenamed({"key": key, "starts": starts}), key, "left").drop(key), starts
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,19 +449,24 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept_sha256": []}
             texts = [t.encode() for t in b["text"]]
-            for data, edges in zip(texts, covered(texts, b["items"])):
+            for data, starts in zip(texts, b["starts"]):
+                edges = covered(len(data), starts)
                 kept = kept_bytes(data, edges)
                 for c, v in zip(("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"), (len(data), len(data) - len(kept), len(edges) // 2, edges.tolist(), hashlib.sha256(kept).hexdigest())):
                     out[c].append(v)
             yield out
 
-    rows = _with_items(docs.select(id_col, text_col), text_col, id_col)
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__items").alias("items"))
+    rows, starts = _with_starts(docs.select(id_col, text_col), text_col, id_col)
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(starts).alias("starts"))
     return map_rows(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string", rows=64)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with repeated bytes taken out of the text (a character that lost some of its bytes goes too) and the number of characters set anew."""
+    """docs with repeated bytes taken out of the text (a character that lost some of its bytes goes too) and the number of characters set anew.
+
+    Texts of fewer than LENGTH bytes, empty and null ones stay as they are; repeated rows repeat each other and all lose their
+    text; a row of no doc_id counts like any other. An empty table gives an empty result.
+    """
     names = docs.columns
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
     schema = docs.schema
@@ -453,12 +478,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = [b.column(j) for j in range(len(names))]
                 out = []
                 texts = cols[at].to_pylist()
-                whole = [(t or "").encode() for t in texts]
-                for text, data, edges in zip(texts, whole, covered(whole, b.column(len(names)).to_pylist())):
-                    out.append(text if not len(edges) else kept_bytes(data, edges).decode(errors="ignore"))
+                for text, starts in zip(texts, b.column(len(names)).to_pylist()):
+                    if not starts:
+                        out.append(text)
+                        continue
+                    data = text.encode()
+                    out.append(kept_bytes(data, covered(len(data), starts)).decode(errors="ignore"))
                 cols[at] = pa.array(out, cols[at].type)
                 if chars is not None:
                     cols[chars] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(cols[chars].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return _with_items(docs, text_col, id_col).mapInArrow(run, schema)
+    return _with_starts(docs, text_col, id_col)[0].mapInArrow(run, schema)
