@@ -14,10 +14,11 @@ the same anchor at the same place. So windows that repeat meet under their ancho
    LENGTH bytes, and repeats if it has two places or one of a weight above 1;
 5. the repeated window starts of a class hold at every occurrence of it, and cover bytes of its text.
 
-A group of more than GROUP_MAX contexts is split: first by anchor; the contexts of one anchor by runs of PART neighbouring
-window starts and the bytes that these windows share, so that windows that are equal stay together. Such a group goes to
-a block like any other. One of still more than GROUP_MAX contexts, which all share LENGTH - PART + 1 bytes, is split into
-single windows; there all members of a group are one string, and its number of places is its weight.
+A group of more than GROUP_MAX contexts is split: first by anchor; the contexts of one anchor by cells of neighbouring
+window starts and the bytes that a cell's windows share, so that windows that are equal stay together. Equal cells are one,
+of the weight of their number. Such a group goes to a block like any other. Of one with still more than GROUP_MAX unlike
+cells, which all share LENGTH - PARTS[0] + 1 bytes, cells of weight 1 are split into smaller ones, down to single windows:
+these are strings of LENGTH bytes, and their weight says whether they repeat.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, map_rows, materialize, mix64, powers, release
+from .common import discard, free_name, keep_only, map_rows, materialize, mix64, powers, release
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SPAN + 1, anchor]
 GROUP_MAX = 3_000  # contexts in a block's group
-BLOCK_BYTES = 700_000  # a block is full then; its last group may go beyond by GROUP_MAX contexts
+BLOCK_BYTES = 400_000  # a block is full then; its last group may go beyond by GROUP_MAX contexts
 STRETCH = 24_000  # bytes of texts whose anchors are found together
-PART = 21  # window starts that share a core, where an anchor has too many contexts
+PARTS = (21, 7, 1)  # neighbouring window starts in a cell, where an anchor has too many contexts
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -284,23 +285,20 @@ def _blocks(runs: DataFrame) -> DataFrame:
     def solve(rows):
         ids: dict[int, int] = {}
         groups = [ids.setdefault(r[0], len(ids)) for r in rows]
-        out, heavy = {"h": [], "s": [], "starts": []}, []
+        out, heavy, ats = {"h": [], "s": [], "starts": []}, [], []
         for r in rows:
-            mark = np.zeros(len(r[3]) + 1, bool)
-            for a, many in zip(r[6], r[7]):
-                if many:
-                    mark[max(0, a - SPAN + 1) : a + 1] = True
-            heavy.append(mark)
-        for r, f in zip(rows, repeated_starts([r[3] for r in rows], np.array(groups), LENGTH, heavy)):
-            if not f.any():
-                continue
-            for h, s, a in zip(*r[4:7]):
-                lo = max(0, a - SPAN + 1)
-                own = f[lo : a + 1]
-                if own.any():
+            at = np.asarray(r[6])
+            ats.append((np.maximum(0, at - SPAN + 1), at))
+            lo, hi, n = *(x[np.asarray(r[7], bool)] for x in ats[-1]), len(r[3]) + 1
+            heavy.append(np.cumsum(np.bincount(lo, minlength=n + 1)[:n] - np.bincount(np.minimum(hi + 1, n), minlength=n + 1)[:n]) > 0)
+        for r, (lo, at), f in zip(rows, ats, repeated_starts([r[3] for r in rows], np.array(groups), LENGTH, heavy)):
+            upto = np.concatenate([[0], np.cumsum(f)])
+            some = upto[np.minimum(at + 1, len(f))] - upto[lo]
+            for h, s, l, a, n in zip(r[4], r[5], lo.tolist(), at.tolist(), some.tolist()):
+                if n:
                     out["h"].append(h)
                     out["s"].append(s)
-                    out["starts"].append([x + lo - a for x in _ranges(own)])
+                    out["starts"].append([l - a, 1] if n == a + 1 - l else [x + l - a for x in _ranges(f[l : a + 1])])
         return out
 
     def run(batches):
@@ -322,51 +320,62 @@ def _blocks(runs: DataFrame) -> DataFrame:
     return map_rows(runs.repartition("grp").sortWithinPartitions("grp", "key", "start"), run, "h long, s long, starts array<int>")
 
 
-def _parts(hot: DataFrame, width: int, wanted: bool) -> DataFrame:
-    """(w, v, h, s, off, many) for every run of `width` window starts of the contexts in hot (or those in `offs`): a 128-bit hash of the bytes that its windows share."""
+def _cells(hot: DataFrame, outer: int, width: int) -> DataFrame:
+    """(w, v, whole, h, s, off, many) for every cell of `width` window starts within those of `outer` that hot.offs name: hashes of
+    the bytes that its windows share (128 bits) and of all their bytes."""
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("w", "v", "h", "s", "off", "many")}
-            for data, h, s, a, many, offs in zip(b["data"], b["h"], b["s"], b["at"], b["many"], b["offs"] if wanted else [None] * len(b["h"])):
-                for off in offs or range(1 - SPAN, 1, PART):
-                    for o in range(off, min(off + PART, 1), width) if wanted else [off]:
-                        # from the last window's start to the first one's end; beyond the text's ends no window is whole
-                        lo, hi = a + min(o + width - 1, 0), a + o + LENGTH
-                        if lo < 0 or hi > len(data):
-                            continue
-                        x = xxhash.xxh3_128_intdigest(data[lo:hi])
-                        for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), h, s, o, many)):
-                            out[c].append(v)
+            out = {c: [] for c in ("w", "v", "whole", "h", "s", "off", "many")}
+            for data, h, s, a, many, offs in zip(b["data"], b["h"], b["s"], b["at"], b["many"], b["offs"]):
+                for o in (o for off in offs for o in range(off, min(off + outer, 1), width)):
+                    # from the last window's start to the first one's end; beyond the text's ends no window is whole
+                    last = a + min(o + width - 1, 0)
+                    if last < 0 or a + o + LENGTH > len(data):
+                        continue
+                    x, y = xxhash.xxh3_128_intdigest(data[last : a + o + LENGTH]), xxhash.xxh3_64_intdigest(data[max(0, a + o) : last + LENGTH], max(0, -a - o))
+                    for c, v in zip(out, ((x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), y - (1 << 63), h, s, o, many)):
+                        out[c].append(v)
             yield out
 
-    return map_rows(hot, run, "w long, v long, h long, s long, off int, many boolean", rows=64)
+    return map_rows(hot, run, "w long, v long, whole long, h long, s long, off int, many boolean", rows=64)
 
 
-def _split(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(h, s, starts) of contexts whose anchors have too many, by the bytes that PART windows share; and tables to drop when it is read."""
+def _split(hot: DataFrame, base: DataFrame, outer: int = SPAN, widths: tuple[int, ...] = PARTS) -> tuple[DataFrame, list[DataFrame]]:
+    """hot (h, s, at, many, data, offs: cells to split) to (h, s, starts) of contexts that do not stand for several; and tables to drop when it is read.
+    base: (h, s, at, data), a row a context."""
+    width, rest = widths[0], widths[1:]
     same = ["w", "v", "h", "off"]
-
-    def shared(parts: DataFrame, tag: str) -> DataFrame:
-        """Where every context stands for several nothing is open; those have groups of their own."""
-        return materialize(parts.groupBy(*same).agg(F.count("*").alias("members"), F.bool_and("many").alias("all_many")).filter("members > 1 AND NOT all_many").select(*same, "members"), tag)
-
-    hot = materialize(hot.select(F.col("h")[0].alias("h"), F.col("s")[0].alias("s"), F.col("at")[0].alias("at"), F.col("many")[0].alias("many"), "data").dropDuplicates(["h", "s"]), "hot")
-    parts = materialize(_parts(hot, PART, False), "parts")
-    groups = shared(parts, "part-groups")
-    members = materialize(parts.join(groups, same).select("h", "s", "off", "members", F.xxhash64(*same).alias("grp")), "members")
-    lo = F.greatest(F.lit(0), F.col("at") + F.col("off"))
-    hi = F.least(F.octet_length("data"), F.col("at") + F.least(F.col("off") + (PART - 1), F.lit(0)) + LENGTH)
-    few = members.filter(F.col("members") <= GROUP_MAX).join(hot, ["h", "s"])
-    few = few.select("grp", F.xxhash64("h", "s").alias("key"), F.col("off").alias("start"), F.substring("data", lo + 1, hi - lo).alias("data"), F.array("h").alias("h"), F.array("s").alias("s"), F.array(F.col("at") - lo).alias("at"), F.array("many").alias("many"))
-    found, drop = _blocks(few), [hot, parts, groups, members]
-    many = members.filter(F.col("members") > GROUP_MAX)
-    if not many.isEmpty():
-        single = materialize(_parts(many.groupBy("h", "s").agg(F.collect_list("off").alias("offs")).join(hot, ["h", "s"]), 1, True), "windows")
-        groups = shared(single, "window-groups")
-        found = found.unionByName(single.filter("NOT many").join(groups, same).select("h", "s", F.array(F.col("off"), F.col("off") + 1).alias("starts")))
-        drop += [single, groups]
-    return found, drop
+    rows = materialize(_cells(hot, outer, width).withColumn("cell", F.xxhash64(*same, "whole")), "cells")
+    cells = rows.groupBy("cell", *same).agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min("s").alias("s")).withColumn("many", F.col("many") | (F.col("n") > 1))
+    cells = materialize(cells, "unlike-cells")
+    groups = materialize(cells.groupBy(*same).agg(F.count("*").alias("unlike"), F.sum("n").alias("members")).filter("members > 1").select(*same, "unlike"), "cell-groups")
+    # one of each unlike cell, with its weight and its group's size
+    cells = materialize(cells.join(groups, same).select("cell", "h", "s", "off", "many", "unlike", F.xxhash64(*same).alias("grp")), "grouped-cells")
+    whole, more = F.array(F.col("off"), F.least(F.col("off") + width, F.lit(1))), None
+    if not rest:  # strings of LENGTH bytes
+        found, drop = cells.filter("many").select("cell", whole.alias("starts")), [rows, groups, cells]
+    else:
+        lo = F.greatest(F.lit(0), F.col("at") + F.col("off"))
+        hi = F.least(F.octet_length("data"), F.col("at") + F.least(F.col("off") + (width - 1), F.lit(0)) + LENGTH)
+        few = cells.filter(F.col("unlike") <= GROUP_MAX).withColumnRenamed("many", "cell_many").join(base, ["h", "s"])
+        few = few.select("grp", F.col("cell").alias("key"), F.lit(0).alias("start"), F.substring("data", lo + 1, hi - lo).alias("data"), F.array("cell").alias("h"), F.array("s").alias("s"), F.array(F.col("at") - lo).alias("at"), F.array("cell_many").alias("many"))
+        found, drop = _blocks(few).select(F.col("h").alias("cell"), "starts"), [rows, groups, cells]
+        crowd = cells.filter(F.col("unlike") > GROUP_MAX)
+        if not crowd.isEmpty():
+            found = found.unionByName(crowd.filter("many").select("cell", whole.alias("starts")))
+            own = crowd.groupBy("h", "s").agg(F.collect_list("off").alias("offs"), F.collect_list(F.when(F.col("many"), F.col("off"))).alias("heavy"))
+            # a cell of a weight is a partner of others for all its windows; its context may hold cells of weight 1 too
+            each = own.join(base, ["h", "s"])
+            light = each.select("h", "s", "at", "data", F.lit(False).alias("many"), F.array_except("offs", "heavy").alias("offs"))
+            heavy = each.select("h", "s", "at", "data", F.lit(True).alias("many"), F.col("heavy").alias("offs"))
+            deeper = materialize(light.unionByName(heavy).filter("size(offs) > 0"), "hot")
+            more, also = _split(deeper, base, width, rest)
+            drop += [deeper, *also]
+    found = materialize(found, "found-cells")
+    # a context of weight 1 that a smaller cell is told of is the only one of its larger cell
+    out = rows.filter("NOT many").join(found, "cell").select("h", "s", "starts")
+    return (out if more is None else out.unionByName(more)), [*drop, found]
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -401,8 +410,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found, drop = _blocks(runs.filter("grp IS NOT NULL")), [runs, held]
     hot = runs.filter("grp IS NULL")
     if not hot.isEmpty():
-        more, also = _split(hot)
-        found, drop = found.unionByName(more), drop + also
+        hot = hot.select(F.col("h")[0].alias("h"), F.col("s")[0].alias("s"), F.col("at")[0].alias("at"), F.col("many")[0].alias("many"), "data", F.array(F.lit(1 - SPAN)).alias("offs"))
+        hot = materialize(hot.dropDuplicates(["h", "s"]), "hot")
+        more, also = _split(hot, hot.select("h", "s", "at", "data"))
+        found, drop = found.unionByName(more), [*drop, hot, *also]
         del more, also
     found = materialize(found, "repeats")
     release(spark)
@@ -416,11 +427,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
 
 def covered(size: int, starts: np.ndarray | None) -> np.ndarray:
-    """Flat [from, to) pairs of the bytes that windows cover which start in these [from, to) pairs."""
+    """Flat [from, to) pairs of the bytes that windows cover which start in these [from, to) pairs and are whole."""
     if starts is None or not len(starts):
         return np.zeros(0, np.int64)
-    x = np.asarray(starts)
-    mark = np.bincount(x[::2], minlength=size + 1) - np.bincount(x[1::2] - 1 + LENGTH, minlength=size + 1)
+    x = np.clip(np.asarray(starts), 0, size - LENGTH + 1)
+    lo, hi = x[::2][x[::2] < x[1::2]], x[1::2][x[::2] < x[1::2]]
+    mark = np.bincount(lo, minlength=size + 1) - np.bincount(hi - 1 + LENGTH, minlength=size + 1)
     return np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]]).astype(np.int8)))
 
 
@@ -472,6 +484,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = docs.schema
 
     def run(batches):
+        keep_only()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
