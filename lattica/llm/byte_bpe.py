@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import kept, map_rows, texts_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -284,14 +284,9 @@ class EditableText:
         return list(chain.from_iterable(self.ids_of))
 
 
-_CODERS: dict[tuple[str, str], TextCoder] = {}
-
-
 def text_coder(ranks_path: str, pattern: str) -> TextCoder:
-    """The coder of this Python process: a worker's later tasks find the pieces it knows."""
-    if (ranks_path, pattern) not in _CODERS:
-        _CODERS[ranks_path, pattern] = TextCoder(load_ranks(ranks_path), pattern)
-    return _CODERS[ranks_path, pattern]
+    """The coder of this Python process: a worker's later tasks of this operator find the pieces it knows."""
+    return kept("byte_bpe", (ranks_path, pattern), lambda: TextCoder(load_ranks(ranks_path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -317,7 +312,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield out
 
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return map_rows(texts_of(docs, id_col, text_col), run, schema)
+    return map_rows(texts_of(docs, id_col, text_col), run, schema, owner="byte_bpe")
 
 
 def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

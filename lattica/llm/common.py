@@ -74,8 +74,26 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = 256) -> DataFrame:
-    """mapInArrow over column lists: fn gets dicts of Python lists (binary and arrays as numpy where asked) and yields dicts of lists."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python process keeps for later tasks of the same operator."""
+    own = _KEPT.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def keep_only(owner: str | None = None) -> None:
+    """Drop what tasks of other operators have kept in this Python process: workers live longer than an operator."""
+    for name in [n for n in _KEPT if n != owner]:
+        del _KEPT[name]
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = 256, owner: str | None = None) -> DataFrame:
+    """mapInArrow over column lists: fn gets dicts of Python lists (binary and arrays as numpy where asked) and yields dicts of lists.
+    owner: whose kept() things the tasks use."""
     fields = T._parse_datatype_string(schema)
     names = fields.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,6 +101,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sche
     arrow = to_arrow_schema(fields)
 
     def run(batches):
+        keep_only(owner)
+
         def small():
             for b in batches:
                 for at in range(0, b.num_rows, rows):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, mix64, shingle_hashes, texts_of
+from .common import WordHasher, keep_only, map_rows, mix64, shingle_hashes, texts_of
 
 _HASHES = (mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).tolist()
 
@@ -183,6 +183,7 @@ def drop_contaminated(docs: DataFrame, indexes: list[ContainmentIndex], text_col
 
     def run_for(index: ContainmentIndex):
         def run(batches):
+            keep_only()
             hasher = WordHasher()
             for batch in batches:
                 for at in range(0, batch.num_rows, 128):

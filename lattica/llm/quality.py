@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, texts_of
+from .common import keep_only, map_rows, materialize, texts_of
 from .toxicity import sample_labels
 
 DIM_BITS = 11
@@ -129,6 +129,7 @@ def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4,
     import pyarrow as pa
 
     def run(batches):
+        keep_only()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)

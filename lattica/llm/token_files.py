@@ -15,10 +15,10 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch, texts_of
+from .common import kept, map_rows, materialize, scratch, texts_of
 
 MAGIC = b"LTKF0001"
 
@@ -134,8 +134,8 @@ class Shard:
     def __getitem__(self, i: int) -> np.ndarray:
         return self.ids[self.bounds[i] : self.bounds[i + 1]]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self._nulls + (self._names.values().astype(np.int64) + self._base).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self._nulls else self._names[i - self._nulls] + self._base
 
 
 #: The pattern of public word vocabularies whose matches hold either letters, one digit, or neither.
@@ -184,14 +184,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """This Python process's ids, kept for a worker's later tasks."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    """This Python process's ids, kept for a worker's later tasks of this operator."""
+    return kept("token_files", path, lambda: WordIds(path))
 
 
 def _fs(path: str):
@@ -200,15 +195,19 @@ def _fs(path: str):
     return FileSystem.from_uri(path)
 
 
+#: Documents in a shard at most: bounds the coding of boundaries where documents are tiny.
+SHARD_DOCS = 1 << 18
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4_000_000) -> DataFrame:
-    """Write shards under `out` in ascending doc_id order; returns (shard, path, n_docs, n_ids, start).
+    """Write shards under `out` in ascending doc_id order; returns (part, seq, path, n_docs, n_ids, start), a table in the shared folder.
 
-    shard_ids bounds a shard, and so a task's memory. Null text counts as empty (its end id alone),
-    null doc_ids come first, equal doc_ids are ordered by text; an empty table gives no shards.
-    What comes back to the driver is one short row a shard.
+    shard_ids bounds a shard, and so a task's memory, but for a single document of more. Null text counts as empty (its
+    end id alone), null doc_ids come first, equal doc_ids are ordered by text, and many of them are dealt out by the
+    texts' first letters; an empty table gives no shards. To the driver comes one sum for each task that wrote.
     """
     spark = docs.sparkSession
-    rows = texts_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts_of(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -227,7 +226,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
         for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids = np.frombuffer(words.encode(text) + end_id.to_bytes(4, "little"), "<u4")
-                if total and total + len(ids) > shard_ids:
+                if total and (total + len(ids) > shard_ids or len(names) >= SHARD_DOCS):
                     yield flush()
                     names, counts, parts, total, seq = [], [], [], 0, seq + 1
                 names.append(doc_id)
@@ -237,25 +236,38 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
         if names:
             yield flush()
 
-    shards = sorted(map(tuple, map_rows(rows, run, "part int, seq int, path string, n_docs long, n_ids long").collect()))
-    starts = np.cumsum([0, *(s[4] for s in shards)]).tolist()
-    return spark.createDataFrame([(i, s[2], s[3], s[4], starts[i]) for i, s in enumerate(shards)], "shard int, path string, n_docs long, n_ids long, start long")
+    shards = materialize(map_rows(rows, run, "part int, seq int, path string, n_docs long, n_ids long", owner="token_files"), "shards")
+    sums = sorted(map(tuple, shards.groupBy("part").agg(F.sum("n_ids")).collect()))
+    before = spark.createDataFrame([(p, s) for (p, _), s in zip(sums, np.cumsum([0, *(n for _, n in sums)]).tolist())], "part int, before long")
+    earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
+    # one number for each task that wrote a shard
+    return shards.join(F.broadcast(before), "part").select("part", "seq", "path", "n_docs", "n_ids", (F.col("before") + F.col("start")).alias("start"))
 
 
 def read_token_files(shards: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, where asked for, ids."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, where asked for, ids.
+
+    Boundaries and doc_ids come from select on the coded sequences, one document at a time; no table of them is made."""
 
     def run(batches):
+        names = ("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
         for b in batches:
             for path, start in zip(b["path"], b["start"]):
                 fs, name = _fs(path)
                 with fs.open_input_file(name) as f:
                     shard = Shard(f.read())
-                bounds, names = shard.bounds.values().astype(np.int64), shard.doc_ids()
-                for at in range(0, shard.docs, 2048):
-                    own = [shard.ids[bounds[i] : bounds[i + 1]] for i in range(at, min(shard.docs, at + 2048))]
-                    out = {"doc_id": names[at : at + 2048], "start": (bounds[at : at + len(own)] + start).tolist(), "n_tokens": list(map(len, own)), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in own]}
-                    yield out | ({"ids": [x.astype(np.int32) for x in own]} if with_ids else {})
+                out, low = {n: [] for n in names}, 0
+                for i in range(shard.docs):
+                    high = shard.bounds[i + 1]
+                    ids, at = shard.ids[low:high], start + low
+                    for n, v in zip(names, (shard.doc_id(i), at, high - low, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32) if with_ids else None)):
+                        out[n].append(v)
+                    low = high
+                    if len(out["doc_id"]) == 2048:
+                        yield out
+                        out = {n: [] for n in names}
+                yield out
 
     rows = shards.select("path", "start")
     rows = rows.repartition(max(1, rows.count()), "path")  # the rows are small and the files are not: a number that is given is not coalesced
