@@ -30,6 +30,7 @@ CHUNK_DOCS = 2000
 _TABLE_BITS = 16
 _COUNT_BITS = 20
 _COUNT_SLICES = 64
+_MAP_BITS = 512
 
 
 class SampleTables:
@@ -160,6 +161,11 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     smaller had none of the first (1 - t) / (1 + t) of its weight among the first 1 - t of the larger's, less than
     need would be left to share. A shingle whose bucket one node has is shared by none. Any order is exact; rare
     ones first keep the shingles that thousands of nodes have out of the prefixes.
+
+    Nodes also carry their shingles as bits of _MAP_BITS places. A place that x has and y has not stands for at least one
+    shingle that they do not share, of weight 1 or 1/2 at least by the map it is in: what is left of x bounds what they
+    share, and pairs below need are no rows of the join. So members of a large loose group meet in the join's
+    condition, not in its result.
     """
     cells, width = 1 << _COUNT_BITS, (1 << _COUNT_BITS) // _COUNT_SLICES
 
@@ -186,11 +192,21 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     rank = np.zeros(cells, np.uint8)
     for r in map_rows(counted, ranks, "slice long, c binary", rows=64).collect():
         rank[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.c, np.uint8)
-    slack = 1 + 1e-9
+    slack, words = 1 + 1e-9, _MAP_BITS // 64
+
+    def bits(s: np.ndarray, w: np.ndarray) -> list[int]:
+        """Three maps behind each other: places of shingles of weight 1 and more, of 1/2 and more, of any."""
+        at, out = (s >> np.uint64(9)) % np.uint64(_MAP_BITS), []
+        for least in (1.0, 0.5, 0.0):
+            here = np.zeros(_MAP_BITS, np.uint8)
+            here[at[w >= least]] = 1
+            out.append(here)
+        out[1] &= ~out[0] & 1
+        return np.packbits(np.concatenate(out), bitorder="little").view(np.int64).tolist()
 
     def prefixes(batches):
         hasher, weights = WordHasher(), weights_of()
-        names = ("s", "node", "size", "before", "w", "short")
+        names = ("s", "node", "size", "before", "w", "short", "map")
         for b in batches:
             out = {x: [] for x in names}
             s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
@@ -200,7 +216,7 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
                 at = at[np.lexsort((s[at], order[at]))]
                 if not len(at):
                     continue
-                upto = np.cumsum(w[at])
+                upto, own_map = np.cumsum(w[at]), bits(s[at], w[at])
                 size, before = float(upto[-1]), upto - w[at]
                 on = (before <= (1 - threshold) * size * slack) & (order[at] > 0)
                 at, before = at[on], before[on]
@@ -210,9 +226,10 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
                 out["short"] += (before <= (1 - threshold) / (1 + threshold) * size * slack).tolist()
                 out["node"] += [node] * len(at)
                 out["size"] += [size] * len(at)
+                out["map"] += [own_map] * len(at)
             yield out
 
-    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, w double, short boolean", rows=64)
+    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, w double, short boolean, map array<long>", rows=64)
     tokens = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
     # the component with most nodes at a shingle is one side only, so that one large class does not meet itself
     by_root = tokens.groupBy("s", "root").agg(F.count("*").alias("n"))
@@ -224,6 +241,16 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (most >= need)
     meet &= (F.col("x.short") & (F.col("x.size") <= F.col("y.size") * slack)) | (F.col("y.short") & (F.col("y.size") <= F.col("x.size") * slack))
     meet &= F.least("x.size", "y.size") * slack >= F.lit(threshold) * F.greatest("x.size", "y.size")
+
+    def rest(a: str, b: str) -> Column:
+        """The weight of a without what b certainly has not."""
+
+        def absent(which: int) -> Column:
+            return sum((F.bit_count(F.col(f"{a}.map")[which * words + i].bitwiseAND(F.bitwise_not(F.col(f"{b}.map")[2 * words + i]))) for i in range(words)), F.lit(0))
+
+        return F.col(f"{a}.size") - absent(0) - absent(1) / 2
+
+    meet &= (rest("x", "y") >= need) & (rest("y", "x") >= need)
     return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
