@@ -7,7 +7,7 @@ every document. Only shingles beyond COMMON need their document frequency, and t
 bounds what is broadcast.
 
 Documents of the same words are one node. Nodes that share a band are linked to two nodes of the
-band, linked pairs are verified by their weighted Jaccard similarity, and bands that then still hold
+band, pairs that bit maps of their shingles do not rule out are verified by their weighted Jaccard similarity, and bands that then still hold
 several components are linked anew, by other nodes, across components only. The nodes of bands that
 remain so meet in an exact join of prefixes: with shingles in one order, rare ones first, two nodes
 that reach the threshold share a shingle of the short prefix of the smaller and the prefix of the larger.
@@ -31,6 +31,7 @@ _TABLE_BITS = 16
 _COUNT_BITS = 20
 _COUNT_SLICES = 64
 _MAP_BITS = 512
+SLACK = 1 + 1e-9  # for sums of weights in another order
 
 
 class SampleTables:
@@ -153,6 +154,34 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high else 1.0
 
 
+def bit_maps(s: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of numbers for every text, three maps of _MAP_BITS behind each other: the places of its shingles of weight 1 and
+    more, those of 1/2 and more (without the places before), and those of any shingle that weighs something."""
+    doc, at = np.repeat(np.arange(len(counts)), counts), ((s >> np.uint64(9)) % np.uint64(_MAP_BITS)).astype(np.int64)
+    maps = np.zeros((len(counts), 3, _MAP_BITS), np.uint8)
+    for i, some in enumerate((w >= 1.0, w >= 0.5, w > 0)):
+        maps[doc[some], i, at[some]] = 1
+    maps[:, 1] &= 1 - maps[:, 0]
+    return np.packbits(maps.reshape(len(counts), -1), axis=1, bitorder="little").view(np.int64)
+
+
+def may_reach(x: str, y: str, threshold: float) -> Column:
+    """Whether two nodes (size, map) can be similar enough. A place that x has and y has not stands for at least one shingle
+    that they do not share, of weight 1 or 1/2 at least by the map it is in: what is left of x bounds what they share, and at
+    the threshold they share threshold / (1 + threshold) of both sizes. Sound for any texts; it says little of those that fill their maps."""
+    words = _MAP_BITS // 64
+    need = F.lit(threshold / (1 + threshold) / SLACK) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+    def rest(a: str, b: str) -> Column:
+        def absent(which: int) -> Column:
+            return sum((F.bit_count(F.col(f"{a}.map")[which * words + i].bitwiseAND(F.bitwise_not(F.col(f"{b}.map")[2 * words + i]))) for i in range(words)), F.lit(0))
+
+        return F.col(f"{a}.size") - absent(0) - absent(1) / 2
+
+    sizes = F.least(f"{x}.size", f"{y}.size") * SLACK >= F.lit(threshold) * F.greatest(f"{x}.size", f"{y}.size")
+    return sizes & (rest(x, y) >= need) & (rest(y, x) >= need)
+
+
 def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Weights], threshold: float, k: int) -> DataFrame:
     """held (node, text) to pairs (a, b) across components: all that can reach the threshold are among them.
 
@@ -162,10 +191,8 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     need would be left to share. A shingle whose bucket one node has is shared by none. Any order is exact; rare
     ones first keep the shingles that thousands of nodes have out of the prefixes.
 
-    Nodes also carry their shingles as bits of _MAP_BITS places. A place that x has and y has not stands for at least one
-    shingle that they do not share, of weight 1 or 1/2 at least by the map it is in: what is left of x bounds what they
-    share, and pairs below need are no rows of the join. So members of a large loose group meet in the join's
-    condition, not in its result.
+    Nodes also carry their bit maps, and pairs that these rule out are no rows of the join: members of a large loose
+    group meet in its condition, not in its result.
     """
     cells, width = 1 << _COUNT_BITS, (1 << _COUNT_BITS) // _COUNT_SLICES
 
@@ -192,17 +219,7 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     rank = np.zeros(cells, np.uint8)
     for r in map_rows(counted, ranks, "slice long, c binary", rows=64).collect():
         rank[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.c, np.uint8)
-    slack, words = 1 + 1e-9, _MAP_BITS // 64
-
-    def bits(s: np.ndarray, w: np.ndarray) -> list[int]:
-        """Three maps behind each other: places of shingles of weight 1 and more, of 1/2 and more, of any."""
-        at, out = (s >> np.uint64(9)) % np.uint64(_MAP_BITS), []
-        for least in (1.0, 0.5, 0.0):
-            here = np.zeros(_MAP_BITS, np.uint8)
-            here[at[w >= least]] = 1
-            out.append(here)
-        out[1] &= ~out[0] & 1
-        return np.packbits(np.concatenate(out), bitorder="little").view(np.int64).tolist()
+    slack = SLACK
 
     def prefixes(batches):
         hasher, weights = WordHasher(), weights_of()
@@ -211,12 +228,13 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
             out = {x: [] for x in names}
             s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
             w, order, ends = weights.of(s, tf), rank[bucket(s)], np.cumsum(own)
-            for node, n, end in zip(b["node"], own.tolist(), ends.tolist()):
+            maps = bit_maps(s, w, own)
+            for node, own_map, n, end in zip(b["node"], maps.tolist(), own.tolist(), ends.tolist()):
                 at = np.arange(end - n, end)[w[end - n : end] > 0]
                 at = at[np.lexsort((s[at], order[at]))]
                 if not len(at):
                     continue
-                upto, own_map = np.cumsum(w[at]), bits(s[at], w[at])
+                upto = np.cumsum(w[at])
                 size, before = float(upto[-1]), upto - w[at]
                 on = (before <= (1 - threshold) * size * slack) & (order[at] > 0)
                 at, before = at[on], before[on]
@@ -240,17 +258,7 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     most = F.least("x.before", "y.before") + F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
     meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (most >= need)
     meet &= (F.col("x.short") & (F.col("x.size") <= F.col("y.size") * slack)) | (F.col("y.short") & (F.col("y.size") <= F.col("x.size") * slack))
-    meet &= F.least("x.size", "y.size") * slack >= F.lit(threshold) * F.greatest("x.size", "y.size")
-
-    def rest(a: str, b: str) -> Column:
-        """The weight of a without what b certainly has not."""
-
-        def absent(which: int) -> Column:
-            return sum((F.bit_count(F.col(f"{a}.map")[which * words + i].bitwiseAND(F.bitwise_not(F.col(f"{b}.map")[2 * words + i]))) for i in range(words)), F.lit(0))
-
-        return F.col(f"{a}.size") - absent(0) - absent(1) / 2
-
-    meet &= (rest("x", "y") >= need) & (rest("y", "x") >= need)
+    meet &= may_reach("x", "y", threshold)
     return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -273,6 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
             words, counts = hasher.words(b["text"])
             s, tf, own = unique_shingles(*shingle_hashes(words, counts, k))
             w = weights.of(s, tf)
+            maps, size = bit_maps(s, w, own), np.bincount(np.repeat(np.arange(len(own)), own), w, len(own))
             if not (w > 0).all():
                 doc = np.repeat(np.arange(len(own)), own)[w > 0]
                 s, w, own = s[w > 0], w[w > 0], np.bincount(doc, minlength=len(own))
@@ -291,9 +300,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
                     out[:, i] = key
                 for d, x in zip(np.flatnonzero(some).tolist(), out.view(np.int64).tolist()):
                     keys[d] = x
-            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": content_hashes(words, counts).tolist(), "keys": keys}
+            yield {"doc_id": b["doc_id"], "text_hash": b["text_hash"], "node": content_hashes(words, counts).tolist(), "keys": keys, "size": size, "map": list(maps)}
 
-    signed = materialize(map_rows(texts, sign, "doc_id long, text_hash long, node long, keys array<long>", rows=128), "signed")
+    signed = materialize(map_rows(texts, sign, "doc_id long, text_hash long, node long, keys array<long>, size double, map array<long>", rows=128), "signed")
     members = signed.select("doc_id", "text_hash", "node")
     first = members.groupBy("node").agg(F.min(_ordered()).alias("first"))
     shared = signed.select("node", F.explode("keys").alias("key")).distinct()
@@ -301,6 +310,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     # only rows of bands that several nodes share go on
     bands_ = materialize(shared.join(several.select("key", "lo", "hi"), "key"), "bands")
 
+    # texts of one node have the same words, and so the same weights
+    sketches = materialize(signed.join(bands_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("map").alias("map")), "sketches")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that their maps do not rule out."""
+        x, y = sketches.alias("x"), sketches.alias("y")
+        met = pairs.alias("p").join(x, F.col("p.a") == F.col("x.node")).join(y, F.col("p.b") == F.col("y.node"))
+        return met.filter(may_reach("x", "y", threshold)).select("p.a", "p.b")
+
     def texts_at(nodes: DataFrame) -> DataFrame:
         wanted = first.join(nodes, "node", "left_semi").select("node", "first.doc_id", "first.text_hash")
         held = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.text_hash == wanted.text_hash)).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
@@ -333,7 +351,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     def pairs_with(x: str) -> DataFrame:
         return bands_.filter(f"node <> {x}").select(F.least("node", x).alias("a"), F.greatest("node", x).alias("b"))
 
-    links = verified(materialize(pairs_with("lo").unionByName(pairs_with("hi")).distinct(), "pairs"))
+    links = verified(materialize(possible(pairs_with("lo").unionByName(pairs_with("hi")).distinct()), "pairs"))
     roots = components(links)
     for turn in range(1, rounds):
         # bands across components: each node meets two more of its band, another two in each round
@@ -346,7 +364,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
         pairs = open_.select("node", "root", F.explode(F.array(F.col("lo").bitwiseXOR(back), F.col("hi").bitwiseXOR(back))).alias("other"))
         of_other = roots.select(F.col("node").alias("other"), F.col("root").alias("other_root"))
         pairs = pairs.filter("node <> other").join(of_other, "other", "left").filter(F.col("root") != F.coalesce("other_root", "other"))
-        pairs = materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+        pairs = materialize(possible(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()), "pairs")
         if pairs.isEmpty():
             break
         more = verified(pairs)
