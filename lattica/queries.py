@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,7 +13,8 @@ from lattica.functions import scalar as S
 from lattica.operators import dml, relational as R
 from lattica.operators import predicates as P
 from lattica.plans import procedures
-from lattica.sources.catalog import Database
+from lattica.sources.catalog import Database, Engine
+from lattica.sources.shared import new_folder
 from lattica.streaming import cdc
 from lattica.streaming.providers import Folder
 
@@ -347,16 +347,28 @@ def join_right_where_in_on(db):
     return R.join(db["customer"], db["orders"], col("c_custkey") == col("o_custkey"), "right", col("c_acctbal") < 0, where_in_on=True).select("c_custkey", "o_orderkey")
 
 
-@query("SELECT a.c_custkey, count(*) AS same_name FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_nationkey = b.c_nationkey GROUP BY a.c_custkey")
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON right(c_name, 9) = right(s_name, 9)")
 def join_text_key(db):
-    a, b = db["customer"].alias("a"), db["customer"].alias("b")
-    return R.join(a, b, (col("a.c_mktsegment") == col("b.c_mktsegment")) & (col("a.c_nationkey") == col("b.c_nationkey"))).groupBy("a.c_custkey").agg(F.count("*").alias("same_name"))
+    return R.join(db["customer"], db["supplier"], F.right("c_name", F.lit(9)) == F.right("s_name", F.lit(9))).select("c_custkey", "s_suppkey")
 
 
-@query("SELECT e.event_id, o.o_orderkey FROM events e JOIN orders o ON CAST(e.ts AS DATE) = CAST(o.o_orderdate AS DATE) AND o.o_orderkey < 50")
+@query("SELECT d AS day, n_orders, n_lines FROM (SELECT o_orderdate AS d, count(*) AS n_orders FROM orders GROUP BY 1) JOIN (SELECT l_shipdate AS e, count(*) AS n_lines FROM lineitem GROUP BY 1) ON d = e")
 def join_time_key(db):
-    e, o = db["events"], db["orders"].filter("o_orderkey < 50")
-    return R.join(e, o, F.to_date("ts") == F.to_date("o_orderdate")).select("event_id", "o_orderkey")
+    o = R.group(db["orders"], ["o_orderdate"], F.count("*").alias("n_orders"))
+    li = R.group(db["lineitem"], ["l_shipdate"], F.count("*").alias("n_lines"))
+    return R.join(o, li, col("o_orderdate") == col("l_shipdate")).select(col("o_orderdate").alias("day"), "n_orders", "n_lines")
+
+
+@query("SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_totalprice = b.o_totalprice")
+def join_double_key(db):
+    a, b = db["orders"].alias("a"), db["orders"].alias("b")
+    return R.join(a, b, col("a.o_totalprice") == col("b.o_totalprice")).select("a.o_orderkey", col("b.o_orderkey").alias("other"))
+
+
+@query("SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON CAST(a.o_totalprice AS DECIMAL(18,2)) = CAST(b.o_totalprice AS DECIMAL(18,2))")
+def join_numeric_key(db):
+    o = db["orders"].select("o_orderkey", col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return R.join(o.alias("a"), o.alias("b"), col("a.price") == col("b.price")).select("a.o_orderkey", col("b.o_orderkey").alias("other"))
 
 
 # aggregates
@@ -436,14 +448,14 @@ def distinct_two(db):
 
 
 # ordering and paging
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
 def order_multi(db):
-    return R.order(db["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ("o_totalprice", "desc"), "o_orderkey").limit(100)
+    return R.numbered(R.order(db["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ("o_totalprice", "desc"), "o_orderkey"))
 
 
-@query(f"SELECT o_orderkey, {PRIORITY_SQL} AS p FROM orders ORDER BY p DESC NULLS FIRST, o_orderkey NULLS LAST LIMIT 50")
+@query(f"SELECT o_orderkey, p, row_number() OVER (ORDER BY p DESC NULLS FIRST, o_orderkey NULLS LAST) - 1 AS place FROM (SELECT o_orderkey, {PRIORITY_SQL} AS p FROM orders)")
 def order_nulls(db):
-    return R.order(db["orders"].select("o_orderkey", priority().alias("p")), ("p", "desc"), "o_orderkey").limit(50)
+    return R.numbered(R.order(db["orders"].select("o_orderkey", priority().alias("p")), ("p", "desc"), "o_orderkey"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -461,6 +473,13 @@ def limit_offset_one_based(db):
     return R.page(R.order(db["orders"].select("o_orderkey"), "o_orderkey"), 10, 5, one_based=True)
 
 
+@query("SELECT c_custkey, s_suppkey, row_number() OVER (ORDER BY s_suppkey IS NOT NULL, s_suppkey, c_custkey) - 1 AS place FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def order_missing_joined(db):
+    """Rows without a partner come first when ascending, as opposed to nulls."""
+    both = R.join(db["customer"], db["supplier"], col("c_custkey") == col("s_suppkey"), "left").select("c_custkey", "s_suppkey")
+    return R.numbered(R.order(both, ("s_suppkey", "asc"), "c_custkey", missing="s_suppkey"))
+
+
 # set operations
 def _keys(db):
     return db["customer"].select(col("c_nationkey").alias("k")), db["supplier"].select(col("s_nationkey").alias("k")), db["nation"].select(col("n_nationkey").alias("k"))
@@ -499,10 +518,10 @@ def union_chain(db):
     return R.set_chain(n, ("except", s), ("union all", s))
 
 
-@query(f"SELECT * FROM ({_CK} UNION {_SK}) ORDER BY k LIMIT 7")
+@query(f"SELECT k, row_number() OVER (ORDER BY k) - 1 AS place FROM ({_CK} UNION {_SK})")
 def setop_ordered(db):
     c, s, _ = _keys(db)
-    return R.order(R.set_chain(c, ("union", s)), "k").limit(7)
+    return R.numbered(R.order(R.set_chain(c, ("union", s)), "k"))
 
 
 @query(f"{_CK} EXCEPT ALL {_SK}")
@@ -513,29 +532,53 @@ def except_all(db):
 
 # changes of tables
 def _new_customers(db, first=100000000):
-    """Two rows with new keys, made from rows of the table."""
-    return db["customer"].filter("c_custkey < 3").withColumn("c_custkey", col("c_custkey") + first).withColumn("c_name", F.lit("new"))
+    """Rows with new keys, made from all customers that are in debt."""
+    return db["customer"].filter("c_acctbal < 0").withColumn("c_custkey", col("c_custkey") + first).withColumn("c_name", F.lit("new"))
 
 
 _CUST = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 
 
-@query(f"SELECT * FROM customer UNION ALL SELECT c_custkey + 100000000, 'new', c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 3")
+@query(f"SELECT * FROM customer UNION ALL SELECT c_custkey + 100000000, 'new', c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0")
 def insert_rows(db):
     return dml.insert(db["customer"], _new_customers(db), ["c_custkey"]).table
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey < 3 THEN 'new' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'new' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def upsert(db):
     return dml.upsert(db["customer"], _new_customers(db, 0), ["c_custkey"]).table
 
 
-@query("SELECT s_suppkey AS c_custkey, 1::BIGINT AS status FROM supplier WHERE false UNION ALL SELECT c_custkey, -100 FROM customer WHERE c_custkey < 3 UNION ALL SELECT c_custkey + 100000000, 1 FROM customer WHERE c_custkey < 3")
+@query("SELECT s_suppkey AS c_custkey, -2::BIGINT AS status FROM supplier WHERE false UNION ALL SELECT c_custkey, -100 FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey + 100000000, -2 FROM customer WHERE c_acctbal < 0")
 def batch_insert_status(db):
     rows = _new_customers(db, 0).unionByName(_new_customers(db))
     return dml.batch_insert(db["customer"], rows, ["c_custkey"])[1].select("c_custkey", col("status").cast("long").alias("status"))
 
 
+@query("SELECT c_nationkey AS id, c_custkey AS v, CASE WHEN rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 AND c_nationkey NOT IN (SELECT r_regionkey FROM region) THEN -2 ELSE -100 END::BIGINT AS status FROM customer")
+def batch_insert_repeated(db):
+    """A batch with many rows of each key: the first is inserted, unless the table has the key."""
+    table = db["region"].select(col("r_regionkey").cast("int").alias("id"), F.lit(0).cast("long").alias("v"))
+    rows = db["customer"].select(col("c_nationkey").alias("id"), col("c_custkey").alias("v"))
+    return dml.batch_insert(table, rows, ["id"], order=col("v"))[1].select("id", "v", col("status").cast("long").alias("status"))
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS v, CASE WHEN c_custkey IN (SELECT s_suppkey FROM supplier) THEN -100 WHEN c_nationkey IN (SELECT s_nationkey FROM supplier) OR rank() OVER (PARTITION BY c_nationkey, c_custkey IN (SELECT s_suppkey FROM supplier) ORDER BY c_custkey) > 1 THEN -3 ELSE -2 END::BIGINT AS status FROM customer")
+def batch_insert_unique_index(db):
+    """The second column has a unique index of its own: a clash there fails for another reason than a used key."""
+    table = db["supplier"].select(col("s_suppkey").alias("id"), col("s_nationkey").alias("v"))
+    rows = db["customer"].select(col("c_custkey").alias("id"), col("c_nationkey").alias("v"))
+    return dml.batch_insert(table, rows, ["id"], [["v"]], order=col("id"))[1].select("id", "v", col("status").cast("long").alias("status"))
+
+
+@query("SELECT n_nationkey, coalesce(n.last, n_regionkey)::BIGINT AS n_regionkey FROM nation LEFT JOIN (SELECT c_nationkey, max(c_custkey) AS last FROM customer GROUP BY 1) n ON c_nationkey = n_nationkey")
+def upsert_repeated(db):
+    """Of many new rows of a key the last one stays."""
+    table = db["nation"].select("n_nationkey", col("n_regionkey").cast("long").alias("n_regionkey"))
+    rows = db["customer"].select(col("c_nationkey").alias("n_nationkey"), col("c_custkey").alias("n_regionkey"))
+    return dml.upsert(table, rows, ["n_nationkey"], order=col("n_regionkey")).table
+
+
 @query("SELECT * FROM nation UNION ALL SELECT CAST(s_suppkey + 1000 AS INTEGER), s_name, s_nationkey FROM supplier WHERE s_acctbal > 0")
 def insert_select(db):
     q = db["supplier"].filter("s_acctbal > 0").select(col("s_suppkey") + 1000, "s_name", "s_nationkey")
@@ -572,7 +615,7 @@ def drop_column(db):
     return dml.drop_column(db["nation"], "n_regionkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey < 3")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def unique_violation(db):
     """The keys for which an insert raises."""
     return dml.duplicates(db["customer"], _new_customers(db, 0).unionByName(_new_customers(db)), ["c_custkey"])
@@ -607,7 +650,7 @@ def cdc_apply_insert(db):
 def cdc_apply_update(db):
     e = _events(db)
     change = dml.update(e, {"event_type": F.lit("changed")}, col("event_id") % 3 == 0)
-    return cdc.apply(e, cdc.decode(cdc.encode(change.before, "db", "events", "UPDATE", change.after, ["event_id"]), e.schema), ["event_id"])
+    return cdc.apply(e, cdc.decode(cdc.encode_change(change, "db", "events"), e.schema), ["event_id"])
 
 
 @query(f"SELECT {_EV} FROM events WHERE event_id % 5 <> 0")
@@ -618,22 +661,20 @@ def cdc_apply_delete(db):
 
 def _streamed(db, messages: DataFrame, key: list[str]):
     """(table, errors) after the messages went through a folder and a stream."""
-    base = (db.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + f"/stream-{id(messages):x}-{abs(hash(str(messages.schema)))}"
-    base += "-" + tempfile.mktemp(dir="").strip("/")
+    base = new_folder(db.spark, "stream")
     queue, e = Folder(f"{base}/queue"), _events(db)
     queue.publish(messages)
     table = cdc.VersionedTable(db.spark, f"{base}/table", e.schema, key)
     cdc.run_stream(queue.stream(db.spark), table, f"{base}/checkpoint", f"{base}/errors").awaitTermination()
-    return table.read(), db.spark.read.text(f"{base}/errors")
+    return table.read(), db.spark.read.text(f"{base}/errors").select("value")
 
 
 @query("SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'changed' ELSE event_type END AS event_type, value FROM events WHERE event_id % 5 <> 0 OR event_id % 3 = 0")
 def cdc_stream_upsert(db):
     e = _events(db)
-    seq = lambda df, n: df.withColumn("_cdc_sequence0", F.lit(n))
-    first = cdc.encode(seq(e, 1), "db", "events", "INSERT")
-    gone = cdc.encode(seq(e.filter("event_id % 5 = 0"), 2), "db", "events", "DELETE")
-    again = cdc.encode(seq(e.filter("event_id % 3 = 0").withColumn("event_type", F.lit("changed")), 3), "db", "events", "INSERT")
+    first = cdc.encode(e, "db", "events", "INSERT", sequence=[F.lit(1)])
+    gone = cdc.encode(e.filter("event_id % 5 = 0"), "db", "events", "DELETE", sequence=[F.lit(2)])
+    again = cdc.encode(e.filter("event_id % 3 = 0").withColumn("event_type", F.lit("changed")), "db", "events", "INSERT", sequence=[F.lit(3)])
     return _streamed(db, first.unionByName(gone).unionByName(again), ["event_id"])[0]
 
 
@@ -644,6 +685,60 @@ def cdc_dead_letter(db):
     return _streamed(db, cdc.encode(e, "db", "events", "INSERT").unionByName(bad), ["event_id"])[1].select(col("value").alias("raw"))
 
 
+@query("SELECT event_id + CASE WHEN event_type = 'view' THEN 1000000000 ELSE 0 END AS event_id, user_id, event_type, value FROM events")
+def cdc_key_change(db):
+    """An update that moves rows to new keys."""
+    e = _events(db)
+    change = dml.update(e, {"event_id": col("event_id") + 1000000000}, col("event_type") == "view")
+    return cdc.apply(e, cdc.decode(cdc.encode_change(change, "db", "events"), e.schema), ["event_id"])
+
+
+@query("SELECT user_id, CASE event_type WHEN 'view' THEN 'seen twice' ELSE event_type END AS event_type, value FROM events WHERE event_type NOT IN ('error', 'signup') UNION ALL SELECT user_id, 'late', value FROM events WHERE event_type = 'purchase'")
+def cdc_keyless(db):
+    """A table without a key: updates that follow each other, deletes by some columns only, and inserts of which some go again."""
+    e = _events(db).drop("event_id")
+    # after images replace the whole row, so the updates go row by row
+    seen = dml.update(e, {"event_type": F.lit("seen")}, col("event_type") == "view")
+    twice = dml.update(seen.after, {"event_type": F.lit("seen twice")})
+    late = e.filter("event_type = 'purchase'").withColumn("event_type", F.lit("late"))
+    soon_gone = e.filter("event_type = 'click'").withColumn("event_type", F.lit("gone"))
+    n = lambda i: [F.lit(i)]
+    messages = cdc.encode(seen.images.distinct(), "db", "events", "UPDATE", sequence=n(1)).unionByName(cdc.encode(twice.images.distinct(), "db", "events", "UPDATE", sequence=n(2)))
+    messages = messages.unionByName(cdc.encode(late, "db", "events", "INSERT", sequence=n(3))).unionByName(cdc.encode(soon_gone, "db", "events", "INSERT", sequence=n(3)))
+    kinds = db.spark.createDataFrame([("error",), ("signup",), ("gone",)], "event_type string")
+    messages = messages.unionByName(cdc.encode(kinds, "db", "events", "DELETE", sequence=n(4)))
+    return cdc.apply(e, cdc.decode(messages, e.schema), None)
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'again' ELSE 'second' END AS event_type, value FROM events WHERE event_type <> 'error'")
+def cdc_arrival_order(db):
+    """Messages without sequence numbers: their events count in the order in which they stand."""
+    e = _events(db)
+    row = lambda kind: F.to_json(F.struct("event_id", "user_id", F.lit(kind).alias("event_type"), "value"))
+    event = lambda action, *parts: F.concat(F.lit(f'{{"_cdc_dbname":"db","_cdc_tablename":"events","_cdc_action":"{action}",'), *parts, F.lit("}"))
+    insert = event("INSERT", F.lit('"record":'), row("first"))
+    update = event("UPDATE", F.lit('"before":'), row("first"), F.lit(',"after":'), row("second"))
+    delete = event("DELETE", F.lit('"record":'), row("second"))
+    again = event("INSERT", F.lit('"record":'), row("again"))
+    events = F.when(col("event_type") == "error", F.array(insert, update, delete)).when(col("event_type") == "click", F.array(insert, update, delete, again)).otherwise(F.array(insert, update))
+    messages = e.select(F.concat(F.lit('{"events":['), F.array_join(events, ","), F.lit("]}")).alias("value"))
+    return cdc.apply(e.limit(0), cdc.decode(messages, e.schema), ["event_id"])
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'view' THEN 'changed' ELSE event_type END AS event_type, value FROM events WHERE event_type <> 'error'")
+def cdc_two_batches(db):
+    """Inserts in one run of the stream; updates and deletes in a second one, which finds the table and where it stopped."""
+    e = _events(db)
+    base = new_folder(db.spark, "stream")
+    queue, table = Folder(f"{base}/queue"), cdc.VersionedTable(db.spark, f"{base}/table", e.schema, ["event_id"])
+    change = dml.update(e, {"event_type": F.lit("changed")}, col("event_type") == "view")
+    gone = cdc.encode_change(dml.delete(e, col("event_type") == "error"), "db", "events")
+    for messages in (cdc.encode(e, "db", "events", "INSERT"), cdc.encode_change(change, "db", "events").unionByName(gone)):
+        queue.publish(messages)
+        cdc.run_stream(queue.stream(db.spark), table, f"{base}/checkpoint", f"{base}/errors", arrival=queue.arrival).awaitTermination()
+    return table.read()
+
+
 # procedures
 class _FlagCounts(procedures.Procedure):
     response = "l_returnflag string, n long"
@@ -692,3 +787,140 @@ def transaction_insert(db):
 @query("SELECT 1::BIGINT AS plans")
 def explain_select(db):
     return db.explain(db["orders"].filter("o_orderkey = 5")).filter("line like '%Physical Plan%'").agg(F.count("*").alias("plans"))
+
+
+# SQL text
+@query("SELECT o_orderkey, o_custkey, o_totalprice * 2 AS twice FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 1000) AND o_custkey <> 7")
+def sql_where(db):
+    return db.execute("SELECT o_orderkey, o_custkey, o_totalprice * 2 AS twice FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 1000) AND o_custkey <> 7")
+
+
+@query("SELECT n_name, count(*) AS n, min(c_acctbal) AS least FROM customer c JOIN nation n ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 GROUP BY n_name HAVING count(*) > 2 ORDER BY n_name")
+def sql_join_group(db):
+    return db.execute("select n_name, count(*) as n, min(c_acctbal) as least from customer c inner join nation n on c.c_nationkey = n.n_nationkey where c_acctbal >= 0 group by n_name having count(*) > 2 order by n_name")
+
+
+@query(f"SELECT * FROM (({_NK}) EXCEPT ({_SK})) UNION ALL {_SK}")
+def sql_set_chain(db):
+    return db.execute("(select n_nationkey as k from nation) except (select s_nationkey as k from supplier) union all (select s_nationkey as k from supplier)")
+
+
+@query("SELECT p_partkey, upper(p_name) AS \"upper(p_name)\", upper(p_name) AS \"upper(p_name)_2\", substr(p_name, 3, 4) AS \"substring(p_name,2,6)\", p_size + 1 AS more FROM part")
+def sql_derived_names(db):
+    """Functions without a name are called by their text, which is made unique."""
+    return db.execute("SELECT p_partkey, upper(p_name), upper(p_name), substring(p_name, 2, 6), p_size + 1 AS more FROM part")
+
+
+@query("SELECT o_orderkey, month(o_orderdate) - 1 AS m, o_custkey // 7 AS weeks, o_orderkey % 5 AS rest FROM orders WHERE instr(o_orderpriority, 'IUM') - 1 > 0")
+def sql_functions(db):
+    return db.execute("select o_orderkey, month(o_orderdate) as m, o_custkey / 7 as weeks, o_orderkey % 5 as rest from orders where index_of(o_orderpriority, 'IUM') > 0")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_returnflag IN ('A', 'R') AND l_linestatus NOT LIKE 'O%' OR l_orderkey = 5")
+def sql_predicates(db):
+    return db.execute("select l_orderkey, l_linenumber from lineitem where l_quantity between ? and 10 and l_returnflag in ('A', ?) and l_linestatus not like 'O%' or l_orderkey = ?", [12, "R", 5])
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey AND s_acctbal > 0")
+def sql_outer_compat(db):
+    """The old meaning: the filter decides about matches."""
+    return db.execute("select c_custkey, s_suppkey from customer left outer join supplier on c_custkey = s_suppkey where s_acctbal > 0", compat=True)
+
+
+@query("SELECT c_mktsegment, max(c_custkey) AS last FROM customer GROUP BY c_mktsegment")
+def sql_named_parameters(db):
+    return db.execute("select c_mktsegment, max(c_custkey) as last from customer where c_custkey >= :least group by c_mktsegment", {"least": 0})
+
+
+@query("SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region UNION ALL SELECT 100, 'it''s new' UNION ALL SELECT 101, NULL")
+def sql_insert(db):
+    db.execute("create table regions (id bigint, name varchar(40), primary key (id))")
+    db.execute("insert into regions (id, name) select r_regionkey, r_name from region")
+    db.execute("insert into regions (id, name) values (100, 'it''s new'), (101, null)")
+    return db.execute("select * from regions")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey < 5 THEN 'region' ELSE n_name END AS name FROM nation")
+def sql_insert_ignore(db):
+    db.execute("create table names (id bigint, name varchar(40), primary key (id))")
+    db.execute("insert into names select n_nationkey, n_name from nation")
+    db.execute("insert ignore into names (id, name) select r_regionkey, 'region' from region")
+    return db.execute("select id, name from names")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'small' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice >= 1000)")
+def sql_update_delete(db):
+    db.execute("update orders set o_orderstatus = 'small' where o_totalprice < ?", [1000])
+    db.execute("delete from orders where o_orderstatus = 'F'")
+    return db.execute("select o_orderkey, o_orderstatus from orders")
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice < 1000")
+def sql_update_count(db):
+    return db.execute("update orders set o_orderstatus = 'small' where o_totalprice < 1000")
+
+
+@query("SELECT s_suppkey, CAST(NULL AS BIGINT) AS rating FROM supplier WHERE false UNION ALL SELECT 1, 5")
+def sql_alter_truncate(db):
+    for text in ("alter table supplier drop column s_name", "alter table supplier drop s_nationkey", "alter table supplier drop s_acctbal", "alter table supplier add column rating bigint", "truncate table supplier", "insert into supplier values (1, 5)"):
+        db.execute(text)
+    return db.execute("select * from supplier")
+
+
+@query("SELECT unnest(['table people', 'index by_name', 'columns name, age', 'unique true']) AS line")
+def sql_describe_index(db):
+    db.execute("create table people (id bigint primary key, name varchar(20) not null, age integer)")
+    db.execute("create index by_age on people (age)")
+    db.execute("create unique index by_name on people (name, age)")
+    db.execute("drop index people.by_age")
+    return db.execute("describe index people.by_name")
+
+
+@query("SELECT unnest(['a', 'b']) AS line")
+def sql_databases(db):
+    """Tables of one database are not those of another."""
+    engine = Engine(db.spark)
+    engine.create("one")
+    for text in ("create table a (x bigint)", "create table b (x bigint)", "create database two", "use two", "create table c (x bigint)", "drop database two", "use one"):
+        engine.execute(text)
+    return engine.execute("describe tables")
+
+
+@query("SELECT 1::BIGINT AS plans, 1::BIGINT AS pushed")
+def sql_explain(db):
+    """The filter reaches the scan."""
+    lines = db.execute("explain select o_orderkey from orders where o_orderkey = 5")
+    return lines.agg(F.count(F.when(col("line").contains("Physical Plan"), 1)).alias("plans"), F.max(F.when(col("line").rlike("PushedFilters.*o_orderkey.*5"), 1).otherwise(0)).cast("long").alias("pushed"))
+
+
+@procedures.procedure("flag counts", lambda db, p: db["lineitem"].select("l_returnflag", "l_quantity"))
+class _NamedFlagCounts(_FlagCounts):
+    def init(self, *args):
+        self.args = (self.parameters.get_double(0),)
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY l_returnflag")
+def sql_call_procedure(db):
+    procedures.into_table(db, "flags", db.execute("call procedure ('flag counts', 30)"))
+    return db.execute("select l_returnflag, n from flags")
+
+
+@query("SELECT count(*) AS n FROM events")
+def fn_now(db):
+    return db.execute("select count(*) as n from events where ts < now()")
+
+
+@query("SELECT n_nationkey::BIGINT AS id FROM nation")
+def transaction_tables(db):
+    """Tables made in a transaction go with it, dropped ones come back, and others do not see its rows."""
+    db.execute("create table kept (id bigint)")
+    db.execute("insert into kept select n_nationkey from nation")
+    db.begin()
+    db.execute("delete from kept")
+    seen = db.snapshot()["kept"]
+    db.execute("create table new (id bigint)")
+    db.execute("drop table kept")
+    db.rollback()
+    if "new" in db.tables or "kept" not in db.tables:
+        raise AssertionError("rollback left tables as they were inside")
+    return seen.intersect(db["kept"])

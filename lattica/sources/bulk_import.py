@@ -9,12 +9,24 @@ def read_jdbc(spark: SparkSession, url: str, table: str, driver: str | None = No
     """With a numeric key: its range, read first, is cut into `parts` ranges read in parallel. Without: one reader."""
     options = {"url": url, "fetchsize": str(fetch)} | {k: v for k, v in (("driver", driver), ("user", user), ("password", password)) if v}
     source = f"(select * from {table} where {where}) src" if where else table
-    reader = spark.read.format("jdbc").options(**options)
+
+    def load(**more: str) -> DataFrame:
+        return spark.read.format("jdbc").options(**options, **more).load()
+
+    whole = load(dbtable=source)
     if key:
-        lo, hi = reader.option("query", f"select min({key}) a, max({key}) b from {source}").load().first()
+        key = next(c for c in whole.columns if c.lower() == key.lower())  # as the database writes it
+        name = quoted(key, url)
+        lo, hi = load(query=f"select min({name}) as least, max({name}) as most from {source}").first()
         if lo is not None:
-            return reader.options(dbtable=source, partitionColumn=key, lowerBound=str(lo), upperBound=str(hi + 1), numPartitions=str(parts)).load()
-    return reader.option("dbtable", source).load()
+            return load(dbtable=source, partitionColumn=key, lowerBound=str(lo), upperBound=str(hi + 1), numPartitions=str(parts))
+    return whole
+
+
+def quoted(name: str, url: str) -> str:
+    """A column's name as its database has it: quoted, so that its case counts."""
+    mark = "`" if url.startswith(("jdbc:mysql", "jdbc:mariadb")) else '"'
+    return f"{mark}{name}{mark}"
 
 
 class Import:
