@@ -31,6 +31,7 @@ _TABLE_BITS = 16
 _COUNT_BITS = 20
 _COUNT_SLICES = 64
 _MAP_BITS = 512
+_HEAD = 16  # shingles of a prefix that go with each of its rows
 SLACK = 1 + 1e-9  # for sums of weights in another order
 
 
@@ -223,7 +224,7 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
 
     def prefixes(batches):
         hasher, weights = WordHasher(), weights_of()
-        names = ("s", "node", "size", "before", "w", "short", "map")
+        names = ("s", "node", "size", "before", "short", "map", "head", "place")
         for b in batches:
             out = {x: [] for x in names}
             s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
@@ -240,14 +241,15 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
                 at, before = at[on], before[on]
                 out["s"] += s[at].view(np.int64).tolist()
                 out["before"] += before.tolist()
-                out["w"] += w[at].tolist()
                 out["short"] += (before <= (1 - threshold) / (1 + threshold) * size * slack).tolist()
                 out["node"] += [node] * len(at)
                 out["size"] += [size] * len(at)
                 out["map"] += [own_map] * len(at)
+                out["head"] += [s[at[:_HEAD]].view(np.int64).tolist()] * len(at)
+                out["place"] += range(len(at))
             yield out
 
-    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, w double, short boolean, map array<long>", rows=64)
+    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, short boolean, map array<long>, head array<long>, place int", rows=64)
     tokens = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
     # the component with most nodes at a shingle is one side only, so that one large class does not meet itself
     by_root = tokens.groupBy("s", "root").agg(F.count("*").alias("n"))
@@ -258,7 +260,11 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     most = F.least("x.before", "y.before") + F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
     meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (most >= need)
     meet &= (F.col("x.short") & (F.col("x.size") <= F.col("y.size") * slack)) | (F.col("y.short") & (F.col("y.size") <= F.col("x.size") * slack))
+    # neither node on the side of the larger component: one of both orders
+    meet &= (F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.major"))
     meet &= may_reach("x", "y", threshold)
+    # a pair that meets at a shingle meets at each common one before, too: once is enough, as far as heads tell
+    meet &= ~F.arrays_overlap(F.slice("x.head", F.lit(1), F.least("x.place", F.lit(_HEAD))), F.slice("y.head", F.lit(1), F.least("y.place", F.lit(_HEAD))))
     return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
