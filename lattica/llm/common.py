@@ -19,16 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a temporary one only where the session names none (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where it is unset, as in tests on one machine, a
+    temporary one; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            return jsc.get()
-        found = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, tag: str) -> str:

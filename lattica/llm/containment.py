@@ -9,15 +9,17 @@ Retrieved pairs are checked exactly: the share of the item's distinct shingles i
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable
 from math import ceil, log
 from pathlib import Path
 
 import numpy as np
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keep_only, map_rows, mix64, shingle_hashes, texts_of
+from .common import WordHasher, keep_only, kept, map_rows, mix64, scratch, shingle_hashes, texts_of
 
 _HASHES = (mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).tolist()
 
@@ -91,7 +93,7 @@ class ContainmentIndex:
 
     def __init__(self, items: Iterable[tuple[int, str]], k: int = 5, threshold: float = 0.8, rows: int = 1, miss: float = 1e-6):
         self.k, self.threshold = k, threshold
-        items = sorted((i, t or "") for i, t in items)
+        items = sorted(((i, t or "") for i, t in items), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in items]
         words, counts = WordHasher().words([t for _, t in items])
         ends = np.cumsum(counts)
@@ -138,31 +140,72 @@ class ContainmentIndex:
             enough = np.repeat(counts >= size, n)
             hit = np.isin(runs, np.array(list(known), np.uint64)) & enough
             out += sorted({(int(d), self.ids[i], 1.0) for d, r in zip(whose[hit].tolist(), runs[hit].tolist()) for i in known[r]})
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0], x[1] is None, x[1] or 0))
 
 
-def index_batches(items: DataFrame, id_col: str, text_col: str, **options) -> list[ContainmentIndex]:
-    """Read the items, a bounded number of shingles at a time; each index fits a task."""
-    out, own, size, hasher = [], [], 0, WordHasher()
-    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter(F.col("i").isNotNull()).toLocalIterator():
+class IndexFile:
+    """An index in the shared folder: what a task needs of it is its path; a worker keeps the last one it read."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def load(self) -> ContainmentIndex:
+        def read() -> ContainmentIndex:
+            fs, name = FileSystem.from_uri(self.path)
+            with fs.open_input_file(name) as f:
+                return pickle.loads(f.read())
+
+        keep_only("containment")
+        return kept("containment", self.path, read)
+
+    @classmethod
+    def write(cls, index: ContainmentIndex, path: str) -> IndexFile:
+        fs, name = FileSystem.from_uri(path)
+        fs.create_dir(name.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(name) as f:
+            f.write(pickle.dumps(index))
+        return cls(path)
+
+
+def index_batches(items: DataFrame, id_col: str, text_col: str, **options) -> list[ContainmentIndex | IndexFile]:
+    """The items as indexes of a bounded number of shingles each. A single one is returned as it is and goes with the
+    function that searches it; of more, each is written to the shared folder before the next is made.
+
+    Null and empty texts match nothing; an item without an id is found under a null one; repeated items are found repeatedly.
+    """
+    spark, out, own, size, hasher = items.sparkSession, [], [], 0, WordHasher()
+    folder = None
+    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         n = int(hasher.words([r.t or ""])[1][0]) + 1
         if own and size + n > ContainmentIndex.MAX_SHINGLES // 4:
-            out.append(ContainmentIndex(own, **options))
+            folder = folder or scratch(spark, "indexes")
+            out.append(IndexFile.write(ContainmentIndex(own, **options), f"{_uri(folder)}/{len(out)}"))
             own, size = [], 0
         own.append((r.i, r.t))
         size += n
-    return [*out, ContainmentIndex(own, **options)] if own or not out else out
+    last = ContainmentIndex(own, **options)
+    return [*out, IndexFile.write(last, f"{_uri(folder)}/{len(out)}")] if out else [last]
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+def _loaded(index: ContainmentIndex | IndexFile) -> ContainmentIndex:
+    return index.load() if isinstance(index, IndexFile) else index
 
 
-def find_items(docs: DataFrame, indexes: list[ContainmentIndex], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, indexes: list[ContainmentIndex | IndexFile], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, containment: a row for every text and item whose containment reaches the threshold.
 
-    Null texts count as empty and match nothing; repeated rows give repeated matches; no text leaves its task.
+    Null texts count as empty and match nothing; texts of any length are searched whole; repeated rows give repeated
+    matches, a null doc_id is kept; an empty table of texts or of items gives an empty result. No text leaves its task;
+    the texts are read once for each index.
     """
 
-    def run_for(index: ContainmentIndex):
+    def run_for(source: ContainmentIndex | IndexFile):
         def run(batches):
-            hasher = WordHasher()
+            hasher, index = WordHasher(), _loaded(source)
             for b in batches:
                 found = index.search(b["text"], hasher)
                 yield {"doc_id": [b["doc_id"][d] for d, _, _ in found], "item_id": [i for _, i, _ in found], "containment": [s for _, _, s in found]}
@@ -170,21 +213,22 @@ def find_items(docs: DataFrame, indexes: list[ContainmentIndex], id_col: str = "
         return run
 
     rows = texts_of(docs, id_col, text_col)
-    parts = [map_rows(rows, run_for(x), "doc_id long, item_id long, containment double", rows=128) for x in indexes]
+    parts = [map_rows(rows, run_for(x), "doc_id long, item_id long, containment double", rows=128, owner="containment") for x in indexes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def drop_contaminated(docs: DataFrame, indexes: list[ContainmentIndex], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, that hold no item; decided row by row, without a join."""
+def drop_contaminated(docs: DataFrame, indexes: list[ContainmentIndex | IndexFile], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that hold no item; decided row by row, without a join. Null and empty texts hold
+    none and stay, as does every repeated row of a text that holds none; an empty table gives an empty result."""
     import pyarrow as pa
 
-    def run_for(index: ContainmentIndex):
+    def run_for(source: ContainmentIndex | IndexFile):
         def run(batches):
-            keep_only()
-            hasher = WordHasher()
+            keep_only("containment")
+            hasher, index = WordHasher(), _loaded(source)
             for batch in batches:
                 for at in range(0, batch.num_rows, 128):
                     b = batch.slice(at, 128)
@@ -239,7 +283,8 @@ LICENSE_TEXTS = {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, threshold: float = 0.8, rows: int = 1, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license, containment: a row for every text and template that it holds. Templates are a parameter; nulls and empty texts match nothing."""
+    """doc_id, license, containment: a row for every text and template that it holds. Templates are a parameter; nulls and empty texts match nothing.
+    Texts of any length are searched whole; repeated rows give repeated results, a null doc_id is kept; an empty table gives an empty result."""
     templates = LICENSE_NOTICES | LICENSE_TEXTS if templates is None else templates
     names = sorted(templates)
     index = ContainmentIndex(list(enumerate(templates[n] for n in names)), k=k, threshold=threshold, rows=rows, miss=miss)

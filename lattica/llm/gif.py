@@ -198,14 +198,31 @@ def write_gif(gif: Gif) -> bytes:
     return b"".join(out) + b";"
 
 
+#: Pixels of a canvas or frame at most: a damaged header names sizes that no picture has.
+MAX_PIXELS = 1 << 26
+
+
 def read_gif(data: bytes) -> Gif:
+    """Raises ValueError for bytes that are no whole GIF: another signature, an unknown block, an end within a block or
+    within a frame's codes, sizes beyond MAX_PIXELS. A missing trailer alone is no damage."""
+    try:
+        return _read(bytes(data))
+    except (struct.error, IndexError) as e:
+        raise ValueError("the GIF is cut off") from e
+
+
+def _read(data: bytes) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     w, h, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if w * h > MAX_PIXELS:
+        raise ValueError(f"{w} x {h} pixels")
     gif, at = Gif(w, h, background=background), 13
 
     def palette(flags: int, at: int):
         n = 2 << (flags & 7)
+        if at + n * 3 > len(data):
+            raise ValueError("the GIF is cut off")
         return np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3), at + n * 3
 
     def blocks(at: int) -> tuple[bytes, int]:
@@ -213,6 +230,8 @@ def read_gif(data: bytes) -> Gif:
         while n := data[at]:
             parts.append(data[at + 1 : at + 1 + n])
             at += n + 1
+            if at > len(data):
+                raise ValueError("the GIF is cut off")
         return b"".join(parts), at + 1
 
     if flags & 0x80:
@@ -231,14 +250,18 @@ def read_gif(data: bytes) -> Gif:
         elif kind == 0x2C:
             left, top, fw, fh, flags = struct.unpack_from("<HHHHB", data, at)
             at += 9
+            if fw * fh > MAX_PIXELS:
+                raise ValueError(f"{fw} x {fh} pixels")
             own = None
             if flags & 0x80:
                 own, at = palette(flags, at)
             bits = data[at]
+            if not 1 < bits < 9:
+                raise ValueError(f"codes of {bits} bits")
             body, at = blocks(at + 1)
             got = lzw_decode(body, bits, fw * fh)
             if len(got) < fw * fh:
-                got = np.concatenate([got, np.zeros(fw * fh - len(got), np.uint8)])
+                raise ValueError("a frame's codes are cut off")
             rows = got.reshape(fh, fw)
             if flags & 0x40:
                 straight = np.empty_like(rows)
@@ -248,6 +271,8 @@ def read_gif(data: bytes) -> Gif:
             control = (0, 0, None)
         else:
             raise ValueError(f"unknown block {kind:#x}")
+    if at >= len(data) and not gif.frames:
+        raise ValueError("the GIF is cut off")
     return gif
 
 
@@ -326,19 +351,32 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_frames(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and: frames, an array of (time_ms, delay_ms, disposal, width, height, histogram); null media has null frames."""
+    """The columns in keep and: frames, an array of (time_ms, delay_ms, disposal, width, height, histogram), and error.
+
+    Null media has null frames and no error; media that is no whole GIF has null frames and says in error why, and never
+    fails the others. One row per input row; an empty table gives an empty result."""
     names = list(keep)
 
     def run(batches):
         for b in batches:
-            yield {n: b[n] for n in names} | {"frames": [None if m is None else gif_to_samples(m)[1] for m in b["media"]]}
+            out = {n: b[n] for n in names} | {"frames": [], "error": []}
+            for m in b["media"]:
+                frames = error = None
+                try:
+                    frames = None if m is None else gif_to_samples(m)[1]
+                except ValueError as e:
+                    error = str(e)
+                out["frames"].append(frames)
+                out["error"].append(error)
+            yield out
 
     schema = ", ".join(f"{n} {media.schema[n].dataType.simpleString()}" for n in names)
-    return map_rows(media.select(*names, F.col(media_col).alias("media")), run, f"{schema}, frames array<struct<time_ms:long,delay_ms:long,disposal:int,width:int,height:int,histogram:array<long>>>", rows=64)
+    return map_rows(media.select(*names, F.col(media_col).alias("media")), run, f"{schema}, frames array<struct<time_ms:long,delay_ms:long,disposal:int,width:int,height:int,histogram:array<long>>>, error string", rows=64)
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as a GIF, read the stored bytes back, and describe both."""
+    """Store each text as a GIF, read the stored bytes back, and describe both: a row per input row, equal for equal texts.
+    Null text counts as empty (one row of spaces); texts of any length are stored whole; an empty table gives an empty result."""
 
     def run(batches):
         for b in batches:

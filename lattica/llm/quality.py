@@ -63,33 +63,37 @@ class OrdinalModel:
         return self.grades[0] + tails @ np.diff(np.asarray(self.grades, float))
 
 
+def objective(x: np.ndarray, k: np.ndarray, row: np.ndarray, w: np.ndarray, raw: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, its gradient by w, by raw). k: the grade's rank of each row, row: each row's weight; the thresholds are raw[0] and
+    positive steps exp(raw[1:]) from there."""
+    m = len(raw)
+    theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+    full = np.concatenate([[-np.inf], theta, [np.inf]])
+    s = x @ w
+    lo, hi = full[k] - s, full[k + 1] - s
+    a, b = (1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (lo, hi))
+    a, b = np.where(np.isfinite(lo), a, 0.0), np.where(np.isfinite(hi), b, 1.0)
+    like = np.maximum(b - a, 1e-9)
+    da, db = a * (1 - a) / like, b * (1 - b) / like
+    gw = (x.T @ (row * (db - da)).astype(x.dtype)) + l2 * w
+    gt = np.zeros(m)
+    np.add.at(gt, np.minimum(k, m - 1), -row * db * (k < m))
+    np.add.at(gt, np.maximum(k - 1, 0), row * da * (k > 0))
+    back = np.cumsum(gt[::-1])[::-1]
+    return float(-(row * np.log(like)).sum() + l2 / 2 * (w.astype(float) ** 2).sum()), gw, np.concatenate([back[:1], back[1:] * np.exp(raw[1:])])
+
+
 def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 400, rate: float = 0.1) -> OrdinalModel:
     """Full-batch Adam; y holds grades of any values. Grades weigh alike however many rows they have. Fewer than two grades: every tail is 1."""
     grades, k = np.unique(y, return_inverse=True)
     if len(grades) < 2:
         return OrdinalModel(grades.tolist() or [0.0], np.zeros(x.shape[1] if x.ndim == 2 else 1 << DIM_BITS, np.float32), np.zeros(0))
-    m = len(grades) - 1
-    share = np.bincount(k)
-    row = (1 / (len(grades) * share))[k]
-    w, raw = np.zeros(x.shape[1], np.float32), np.zeros(m)
+    row = (1 / (len(grades) * np.bincount(k)))[k]
+    w, raw = np.zeros(x.shape[1], np.float32), np.zeros(len(grades) - 1)
     raw[0] = -1.0
     state = [(np.zeros_like(w), np.zeros_like(w)), (np.zeros_like(raw), np.zeros_like(raw))]
     for step in range(1, rounds + 1):
-        theta = np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
-        full = np.concatenate([[-np.inf], theta, [np.inf]])
-        s = x @ w
-        lo, hi = full[k] - s, full[k + 1] - s
-        cdf = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
-        a, b = cdf(lo), cdf(hi)
-        like = np.maximum(b - a, 1e-9)
-        da, db = a * (1 - a) / like * np.isfinite(lo), b * (1 - b) / like * np.isfinite(hi)
-        gs = row * (db - da)
-        gw = (x.T @ gs.astype(np.float32)) + l2 * w
-        gt = np.zeros(m)
-        np.add.at(gt, np.minimum(k, m - 1), -row * db * (k < m))
-        np.add.at(gt, np.maximum(k - 1, 0), row * da * (k > 0))
-        back = np.cumsum(gt[::-1])[::-1]
-        gr = np.concatenate([back[:1], back[1:] * np.exp(raw[1:])])
+        _, gw, gr = objective(x, k, row, w, raw, l2)
         for i, (p, g) in enumerate(((w, gw), (raw, gr))):
             m1, m2 = state[i]
             m1 += 0.1 * (g - m1)
@@ -99,7 +103,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 40
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_rows: int = 4000) -> OrdinalModel:
-    """Fit on at most max_rows graded rows (the first by a hash of doc_id, held-out rows apart); their features come to the driver."""
+    """Fit on at most max_rows graded rows (the first by a hash of doc_id, held-out rows apart); their features come to the driver.
+    Null grades are left out; a doc_id with several texts or grades counts once for each; without grades every tail is 1."""
     sample = materialize(sample_labels(docs, labels, grade, max_rows), "quality-sample").repartition(12)
 
     def run(batches):
@@ -112,7 +117,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, expected_grade, tail (probability of the best grade) and keep, for every row. Null text counts as empty: no features, so the tail is that of the thresholds alone."""
+    """doc_id, expected_grade, tail (probability of the best grade) and keep, for every row. Null text counts as empty: no features, so the tail is that of the thresholds alone.
+    Texts of any length are read whole; repeated rows and null doc_ids are scored like any other; an empty table gives an empty result."""
 
     def run(batches):
         for b in batches:
@@ -125,7 +131,8 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4,
 
 
 def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose tail reaches least_tail: decided row by row, without a join."""
+    """The rows of docs, all their columns, whose tail reaches least_tail: decided row by row, without a join, so equal texts
+    share their fate and null ones that of empty ones; an empty table gives an empty result."""
     import pyarrow as pa
 
     def run(batches):

@@ -1,7 +1,8 @@
 """URL filter: a trie over reversed host labels, then over path segments, with longest match.
 
-The rule set is a parameter, its size is checked, and the trie goes to the executors with the
-function. Allow and block entries share the trie; the deepest entry that fits decides.
+The rule set is a parameter. Tries of at most MAX_RULES rules go to the executors with the function that uses
+them; a larger set makes several, which the pages pass in turns, keeping the deepest entry so far. Allow and block
+entries share a trie; the deepest entry that fits decides.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from .common import map_rows
 
 Rule = tuple[str, str, str]  # allow or block, host, path
 
-#: Rules are sent to every task; beyond this many, split them by host suffix and filter in turns.
+#: Rules of one trie, and so what a task holds.
 MAX_RULES = 2_000_000
 
 
@@ -24,8 +25,6 @@ class UrlTrie:
     the start of the url's, so each node also has the partial segments that end a rule in it, longest first."""
 
     def __init__(self, rules: Sequence[Rule], default: str = "allow"):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; the bound is {MAX_RULES}")
         self.default, self.root = default, {}
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
@@ -40,9 +39,9 @@ class UrlTrie:
             ends = node.setdefault("ends", {})
             if ends.get(part, (verdict, ""))[0] != verdict:
                 raise ValueError(f"{host}{path} is both allowed and blocked")
-            ends[part] = (verdict, host + path)
+            ends[part] = (verdict, host + path, len(path))
 
-    def _path(self, node: dict, segments: list[str]) -> tuple[str, str] | None:
+    def _path(self, node: dict, segments: list[str]) -> tuple[str, str, int] | None:
         best = None
         for segment in segments:
             for part in sorted(node.get("ends", ()), key=len):
@@ -53,16 +52,21 @@ class UrlTrie:
                 break
         return best
 
-    def match(self, host: str, path: str) -> tuple[str | None, str]:
-        """(rule, verdict): hosts count before paths; without a fitting rule None and the default."""
+    def find(self, host: str, path: str) -> tuple[str, str, list[int]] | None:
+        """(rule, verdict, its number of labels and length of path) of the deepest fitting rule: hosts count before paths."""
         node, best, segments = self.root, None, path.split("/")
-        for label in reversed(host.split(".")):
+        for depth, label in enumerate(reversed(host.split(".")), 1):
             node = node.get("h", {}).get(label)
             if node is None:
                 break
-            if "paths" in node:
-                best = self._path(node["paths"], segments) or best
-        return (best[1], best[0]) if best else (None, self.default)
+            if "paths" in node and (own := self._path(node["paths"], segments)):
+                best = (own[1], own[0], [depth, own[2]])
+        return best
+
+    def match(self, host: str, path: str) -> tuple[str | None, str]:
+        """(rule, verdict); without a fitting rule None and the default."""
+        found = self.find(host, path)
+        return found[:2] if found else (None, self.default)
 
 
 _UPPER = {i: i + 32 for i in range(65, 91)}
@@ -85,12 +89,31 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     and malformed urls have empty host and path and take the default. One output row per input row,
     repeated ones included; empty tables give empty results; no other column is read.
     """
-    trie = UrlTrie(rules, default)
-
-    def run(batches):
-        for b in batches:
-            parts = [split_url(u) for u in b["url"]]
-            found = [trie.match(h, p) for h, p in parts]
-            yield {"page_id": b["page_id"], "host": [x[0] for x in parts], "path": [x[1] for x in parts], "rule": [x[0] for x in found], "verdict": [x[1] for x in found]}
-
-    return map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), run, "page_id long, host string, path string, rule string, verdict string", rows=4096)
+    blocks = [UrlTrie(rules[i : i + MAX_RULES], default) for i in range(0, len(rules), MAX_RULES)] or [UrlTrie([], default)]
+    kinds: dict[tuple[str, str], str] = {}
+    for verdict, host, path in rules if len(blocks) > 1 else ():  # a trie checks its own
+        if kinds.setdefault((host, path), verdict) != verdict:
+            raise ValueError(f"{host}{path} is both allowed and blocked")
+
+    def first(trie: UrlTrie):
+        def run(batches):
+            for b in batches:
+                parts = [split_url(u) for u in b["url"]]
+                found = [trie.find(h, p) or (None, default, [0, 0]) for h, p in parts]
+                yield {"page_id": b["page_id"], "host": [x[0] for x in parts], "path": [x[1] for x in parts], "rule": [x[0] for x in found], "verdict": [x[1] for x in found], "depth": [x[2] for x in found]}
+
+        return run
+
+    def further(trie: UrlTrie):
+        def run(batches):
+            for b in batches:
+                found = [max((r, v, d), trie.find(h, p) or (r, v, d), key=lambda x: x[2]) for h, p, r, v, d in zip(b["host"], b["path"], b["rule"], b["verdict"], b["depth"])]
+                yield {n: b[n] for n in ("page_id", "host", "path")} | {"rule": [x[0] for x in found], "verdict": [x[1] for x in found], "depth": [x[2] for x in found]}
+
+        return run
+
+    schema = "page_id long, host string, path string, rule string, verdict string, depth array<int>"
+    out = map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), first(blocks[0]), schema, rows=4096)
+    for trie in blocks[1:]:
+        out = map_rows(out, further(trie), schema, rows=4096)
+    return out.drop("depth")

@@ -313,12 +313,45 @@ def test_license_texts_and_notices(spark):
 
 def test_toxicity_grammar():
     lex = toxicity.Lexicon({"idiot$": 2.0, "lowei": 1.5})
-    weigh = lambda t: toxicity.clause_weight(toxicity.clause_symbols(toxicity.WORD.findall(t), lex))
-    assert weigh("you are an idiot") == ("aimed", 2.0)
-    assert weigh("you are not an idiot") == ("denied", 2.0)
-    assert weigh("he said you are an idiot") == ("reported", 2.0)
-    assert weigh("loweischaft idiots") == ("plain", 1.5)
-    assert weigh("i will hurt you") == ("threat", 1.0) and weigh("they hurt") == ("threat", 1.0) and weigh("it will hurt") == ("plain", 0.0)
+    machine = toxicity.grammar(lex)
+    weigh = lambda t: toxicity.clause_weights(toxicity.TOKEN.findall(t), machine, lex)
+    assert weigh("you are an idiot") == weigh("an idiot are you") == {"aimed": 2.0}
+    assert weigh("you are not an idiot") == {"denied": 2.0}
+    assert weigh("not today, you idiot") == {"aimed": 2.0}
+    assert weigh("he said you are an idiot") == {"reported": 2.0}
+    assert weigh("as he said, you are an idiot") == {"aimed": 2.0}
+    assert weigh("loweischaft idiots") == {"plain": 1.5}
+    assert weigh("i will hurt you") == weigh("they hurt") == {"threat": 1.0} and weigh("it will hurt") == {}
+    assert weigh("i will hurt you idiot, the other idiot is elsewhere and very far from here") == {"threat": 1.0, "aimed": 4.0}
+    assert weigh("") == {} and weigh("you you not said") == {}
+
+
+def test_toxicity_paths():
+    """The best path against all tag sequences that the rules allow, written down without machines."""
+    lex = toxicity.Lexicon({"i$": 1.5})
+    words = {"I": "i", "T": "kill", "Y": "you", "N": "not", "S": "said", "C": "but", "O": "tree"}
+    machine, r = toxicity.grammar(lex), random.Random(8)
+    for _ in range(600):
+        x = [r.choice("IITYNSCOOO") for _ in range(r.randint(0, 14))]
+        want, said, left = [], False, 0
+        for i, c in enumerate(x):
+            near = lambda reach: any(x[j] == "Y" for j in range(max(0, i - reach), min(len(x), i + reach + 1)))  # noqa: B023, E731
+            tag = {"N": "O", "S": "O"}.get(c, c)
+            if c in "IT":
+                tag = f"{c}r" if said else f"{c}n" if left else c
+                if tag == "T":
+                    tag = "X" if near(toxicity.REACH["threat"]) else "O"
+                elif tag == "I":
+                    tag = "A" if near(toxicity.REACH["target"]) else "I"
+            want.append(tag)
+            said = c == "S" or said and c != "C"
+            left = toxicity.REACH["negation"] if c == "N" else 0 if c == "C" else max(0, left - 1)
+        assert toxicity.best_path(machine, [words[c] for c in x])[1] == want
+        paths = [(0.0, machine.start, [])]
+        for c in x if len(x) < 9 else ():
+            paths = [(v + w, to, [*out, y]) for v, state, out in paths for y, w, to in machine.arcs(state, words[c])]
+        if len(x) < 9:
+            assert max(v for v, state, _ in paths if machine.final(state)) == toxicity.best_path(machine, [words[c] for c in x])[0]
 
 
 @pytest.mark.parametrize("name,label", [("op2_toxicity", "toxic"), ("op3_quality", "quality")])
@@ -382,3 +415,252 @@ def _cut(df):
             if seen[d[p : p + 200]] > 1:
                 mark[p : p + 200] = True
         yield i, bytes(b for b, m in zip(d, mark) if not m).decode(errors="ignore")
+
+
+def plain_gif(data):
+    """Frames (delay, disposal, colours by pixel) of a GIF of whole frames, read code by code and bit by bit."""
+    w, h, flags = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little"), data[10]
+    n = 2 << (flags & 7)
+    palette, at, out, delay, disposal = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(n)], 13 + 3 * n, [], 0, 0
+
+    def blocks(at):
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        return body, at + 1
+
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            label = data[at + 1]
+            body, at = blocks(at + 2)
+            if label == 0xF9:
+                delay, disposal = int.from_bytes(body[1:3], "little"), body[0] >> 2 & 7
+            continue
+        left, top, fw, fh = (int.from_bytes(data[at + 1 + 2 * i : at + 3 + 2 * i], "little") for i in range(4))
+        assert (left, top, fw) == (0, 0, w) and not data[at + 9] & 0xC0
+        least = data[at + 10]
+        body, at = blocks(at + 11)
+        clear, bit, pixels = 1 << least, 0, []
+        table, width, before = None, least + 1, None
+        while True:
+            code = sum((body[(bit + i) // 8] >> (bit + i) % 8 & 1) << i for i in range(width))
+            bit += width
+            if code == clear:
+                table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, None
+                continue
+            if code == clear + 1:
+                break
+            text = table[code] if code < len(table) else before + before[:1]
+            pixels += text
+            if before is not None and len(table) < 4096:
+                table.append(before + text[:1])
+            before = text
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        assert len(pixels) == fw * fh
+        out.append((delay, disposal, [palette[p] for p in pixels]))
+    return w, h, out
+
+
+def test_gif_against_a_plain_decoder(table):
+    """All stored media, but for texts so long that reading bits one by one takes minutes; every value of the digest from the decoder's frames."""
+    df, rows = table
+    df = df.filter("text is null or length(text) < 50000")
+    media = {r.doc_id: r for r in gif.text_media(df).filter("doc_id is not null").collect()}
+    shown = {r.doc_id: r.frames for r in gif.media_frames(gif.text_media(df)).filter("doc_id is not null").collect()}
+    for r in gif.media_digest(df).filter("doc_id is not null").collect():
+        raw = bytes(media[r.doc_id].media)
+        _, _, frames = plain_gif(raw)
+        payload = bytes(c[0] for _, _, pixels in frames for c in pixels)
+        counts = Counter(p[0] * 4 // 256 * 16 + p[1] * 4 // 256 * 4 + p[2] * 4 // 256 for _, _, pixels in frames for p in pixels)
+        assert (r.payload_sha256, r.payload_bytes, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+        top = sorted(range(64), key=lambda i: (-counts[i], i))[:4]
+        assert r.feature == f"frames={len(frames)};ms={10 * sum(d for d, _, _ in frames)};px={len(payload)};top=" + ",".join(f"{i}:{counts[i]}" for i in top)
+        assert [(f.delay_ms, f.disposal) for f in shown[r.doc_id]] == [(10 * d, x) for d, x, _ in frames]
+        assert [f.time_ms for f in shown[r.doc_id]] == [10 * sum(d for d, _, _ in frames[:i]) for i in range(len(frames))]
+
+
+def test_damaged_gifs(spark):
+    good = gif.samples_to_gif(bytes(range(192)) * 3)
+    wide = good[:6] + b"\xff\xff\xff\xff" + good[10:]
+    bad = [good[:n] for n in (0, 5, 6, 9, 13, 200, 790, 800, len(good) - 40)] + [b"GIF89a", b"not a gif at all", wide, good[:781] + b"\x99" + good[782:]]
+    whole = [good, good[:-1], None]
+    rows = [(i, m) for i, m in enumerate([*bad, *whole])]
+    got = {r.doc_id: r for r in gif.media_frames(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert all(got[i].frames is None and got[i].error for i in range(len(bad)))
+    assert [len(got[len(bad) + i].frames or ()) for i in range(3)] == [1, 1, 0] and all(got[len(bad) + i].error is None for i in range(3))
+    r = random.Random(9)
+    for _ in range(300):
+        m = bytearray(good)
+        for _ in range(r.randint(1, 6)):
+            m[r.randrange(len(m))] = r.randrange(256)
+        try:
+            gif.gif_to_samples(bytes(m))
+        except ValueError:
+            pass
+
+
+def test_ordinal_regression():
+    """The gradient against finite differences, the loss and the scores against the likelihood written out for one row at a time."""
+    r = np.random.default_rng(4)
+    x, k = r.normal(size=(40, 5)), r.integers(0, 4, 40)
+    row, w, raw, l2 = r.random(40), r.normal(size=5), np.array([-1.2, 0.1, -0.4]), 0.03
+    loss, gw, gr = quality.objective(x, k, row, w, raw, l2)
+    theta = [raw[0], raw[0] + np.exp(raw[1]), raw[0] + np.exp(raw[1]) + np.exp(raw[2])]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    want = l2 / 2 * sum(v * v for v in w)
+    for xi, ki, ri in zip(x, k, row):
+        s = float(sum(a * b for a, b in zip(xi, w)))
+        below = lambda j: 0.0 if j < 0 else 1.0 if j > 2 else sigmoid(theta[j] - s)  # noqa: B023, E731
+        want -= ri * np.log(below(ki) - below(ki - 1))
+    assert abs(loss - want) < 1e-9
+    for values, grad, which in ((w, gw, 0), (raw, gr, 1)):
+        for i in range(len(values)):
+            step = np.zeros(len(values))
+            step[i] = 1e-6
+            sides = [quality.objective(x, k, row, *((values + d, raw) if which == 0 else (w, values + d)), l2)[0] for d in (step, -step)]
+            assert abs((sides[0] - sides[1]) / 2e-6 - grad[i]) < 1e-5
+    model = quality.OrdinalModel([1.0, 2.0, 4.0, 7.0], w, np.array(theta))
+    for xi, tails in zip(x, model.tails(x)):
+        s = float(xi @ w)
+        assert np.allclose(tails, [1 - sigmoid(t - s) for t in theta])
+        share = np.diff([0.0, *(sigmoid(t - s) for t in theta), 1.0])
+        assert abs(float(model.expected(tails[None])[0]) - share @ [1, 2, 4, 7]) < 1e-9
+    fitted = quality.fit_ordinal((x + 0.8 * k[:, None]).astype(np.float32), k.astype(float))
+    assert np.corrcoef(fitted.expected(fitted.tails((x + 0.8 * k[:, None]).astype(np.float32))), k)[0, 1] > 0.9
+
+
+def test_licenses_by_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    templates = containment.LICENSE_NOTICES | containment.LICENSE_TEXTS
+    docs += [(-1 - i, "start " + t + " end") for i, t in enumerate(templates.values())] + [(9_000, "and permission is hereby granted, free of charge, to any person obtaining a copy"), (None, "Released under the MIT License. " * 3), (9_001, None), (9_002, "")]
+    want = []
+    for name, t in templates.items():
+        own = set(shingles(t))
+        words = next(iter(own)) if len(own) == 1 and len(next(iter(own))) < 5 else None
+        for i, text in docs:
+            held = set(shingles(text, len(words) if words else 5))
+            if len(own & held) >= 0.8 * len(own):
+                want.append((i, name))
+    found = containment.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert collected(found, "doc_id", "license") == sorted(want, key=repr)
+    assert containment.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_items_without_id_and_in_files(spark, monkeypatch, table):
+    """Several indexes lie in the shared folder; an item without an id contaminates like any other."""
+    items = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six"), (5, "one two three four five six"), (6, "uno dos tres cuatro cinco seis"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x alpha beta gamma delta epsilon zeta", 1), (2, "one two three four five six seven", 2), (2, "clean", 3), (3, None, 4), (3, "uno dos tres cuatro cinco seis", 5)], "doc_id long, text string, item_id int")
+    want = sorted([(None, None), (2, 5), (2, 5), (3, 6)], key=repr)
+    for bound in (2_000_000, 24):
+        monkeypatch.setattr(containment.ContainmentIndex, "MAX_SHINGLES", bound)
+        indexes = containment.index_batches(items, "item_id", "text")
+        assert isinstance(indexes[0], containment.IndexFile) == (bound == 24) and (len(indexes) > 1) == (bound == 24)
+        assert collected(containment.find_items(docs, indexes), "doc_id", "item_id") == want
+        kept = containment.drop_contaminated(docs, indexes)
+        assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [3, 4]
+    assert containment.drop_contaminated(docs.limit(0), indexes).count() == 0
+    clean = containment.drop_contaminated(table[0], containment.index_batches(items, "item_id", "text"))
+    assert clean.columns == table[0].columns and clean.count() == table[0].count()
+
+
+def test_rules_in_turns(monkeypatch):
+    rules = [*queries.URL_RULES, ("block", "org", "/a/"), ("allow", "x.example.org", "/"), ("block", "x.example.org", "/e")]
+    urls = [f"http://{h}{p}" for h in ("org", "example.org", "x.example.org", "y.x.example.org", "com", "q.com", "net") for p in ("", "/", "/es/", "/e", "/en/1", "/a/b", "/fr/", "/de/x")]
+    whole = url_filter.UrlTrie(rules)
+    want = [whole.match(*url_filter.split_url(u)) for u in urls]
+    for n in (1, 2, 5):
+        monkeypatch.setattr(url_filter, "MAX_RULES", n)
+        tries = [url_filter.UrlTrie(rules[i : i + n]) for i in range(0, len(rules), n)]
+        for u, w in zip(urls, want):
+            best = (None, "allow", [0, 0])
+            for t in tries:
+                best = max(best, t.find(*url_filter.split_url(u)) or best, key=lambda x: x[2])
+            assert best[:2] == w
+
+
+def test_rules_in_turns_on_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://example.org/es/a"), (2, None), (None, "https://q.com/de/"), (2, "nothing"), (2, "nothing")], "page_id long, url string")
+    names = ("page_id", "host", "path", "rule", "verdict")
+    whole = collected(url_filter.filter_urls(pages, queries.URL_RULES), *names)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    assert collected(url_filter.filter_urls(pages, queries.URL_RULES), *names) == whole and len(whole) == 5
+    with pytest.raises(ValueError, match="both"):
+        url_filter.filter_urls(pages, [("allow", "a", "/"), ("allow", "b", "/"), ("block", "a", "/")])
+
+
+def test_empty_tables(spark, table):
+    none, labels = table[0].limit(0), spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert byte_bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert gif.media_digest(none).count() == 0 and gif.media_frames(gif.text_media(none)).count() == 0
+    model = quality.fit_quality(none, labels)
+    assert quality.score_quality(none, model).count() == 0 and quality.keep_quality(none, model).count() == 0
+    tox = toxicity.fit_toxicity(toxicity.sample_labels(none, labels, "toxic", 50), 50)
+    assert toxicity.score_toxicity(none, tox).count() == 0
+    assert near_dup.keep_one(none, near_dup.near_duplicates(none)).count() == 0
+    assert substring_dedup.remove_repeats(none).count() == 0 and near_dup.keep_one(none, near_dup.near_duplicates(none)).columns == none.columns
+
+
+def test_shards_are_read_by_select(monkeypatch, spark, tmp_path, table):
+    """No reader decodes a whole sequence of boundaries or ids."""
+    shards = token_files.write_token_files(table[0], WORDS, f"file://{tmp_path}/s", shard_ids=200)
+    path = shards.first().path.removeprefix("file://")
+
+    def never(self):
+        raise AssertionError("decoded at once")
+
+    monkeypatch.setattr(token_files.EliasFano, "values", never)
+    with open(path, "rb") as f:
+        shard = token_files.Shard(f.read())
+    assert sum(len(shard[i]) for i in range(shard.docs)) == len(shard.ids) and shard.doc_id(0) is None
+    import inspect
+
+    assert "values()" not in inspect.getsource(token_files.read_token_files) and "values()" not in inspect.getsource(token_files.Shard)
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    """Equal doc_ids and null ones are dealt out by their texts, and still stand in order."""
+    rows = [(None if i % 2 else 7, f"text {i:04}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = [r.doc_id for r in sorted(token_files.encode_to_files(df, WORDS, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)]
+    assert out == [None] * 300 + [7] * 300
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # few rows would be put together again
+    try:
+        parts = token_files.write_token_files(df, WORDS, f"file://{tmp_path}/u").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(r.n for r in parts) < 400
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dup", "substring_dedup", "decontamination", "byte_bpe"])
+def test_stages_on_odd_rows(spark, table, tmp_path, name):
+    """Every stage on null, empty, long and repeated texts, repeated and null doc_ids, names that clash, and on no rows."""
+    import corpus_pipeline
+
+    df, rows = table
+    docs = df.withColumns({"starts": F.lit(1), "__key": F.lit("x"), "root": F.lit(2), "item_id": F.lit(3)})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never in any of the texts at all"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    assert len(got) <= len(rows) and {r.doc_id for r in got} <= {i for i, _ in rows}
+    if name in ("decontamination", "byte_bpe", "substring_dedup"):
+        assert len(got) == len(rows)
+    if name != "byte_bpe":
+        assert out.columns == docs.columns
+    none = stage(spark, docs.limit(0), str(tmp_path))
+    assert none.count() == 0 and none.columns == out.columns
+
+
+def test_long_repeats(spark):
+    """Texts of over 100,000 characters that share long passages, against brute force on the passages' places."""
+    r = random.Random(12)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = say(30_000)
+    texts = [say(70_000) + shared + say(40_000), say(1_000) + shared[5_000:] + say(90_000), shared[:199] + say(500), shared[:200] + say(500)]
+    got = {x.doc_id: x for x in substring_dedup.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].n_bytes == 140_000 and list(got[0].spans) == [70_000, 70_200, 75_000, 100_000] and got[0].n_removed == 25_200
+    assert got[1].n_removed == 25_000 and got[2].n_removed == 0 and got[3].n_removed == 200
