@@ -250,7 +250,7 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
             yield out
 
     tokens = map_rows(held, prefixes, "s long, node long, size double, before double, short boolean, map array<long>, head array<long>, place int", rows=64)
-    tokens = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+    tokens = written = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
     # the component with most nodes at a shingle is one side only, so that one large class does not meet itself
     by_root = tokens.groupBy("s", "root").agg(F.count("*").alias("n"))
     major = by_root.groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).filter("roots > 1").select("s", F.col("top.root").alias("major"))
@@ -265,7 +265,9 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     meet &= may_reach("x", "y", threshold)
     # a pair that meets at a shingle meets at each common one before, too: once is enough, as far as heads tell
     meet &= ~F.arrays_overlap(F.slice("x.head", F.lit(1), F.least("x.place", F.lit(_HEAD))), F.slice("y.head", F.lit(1), F.least("y.place", F.lit(_HEAD))))
-    return x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = materialize(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    discard(written)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 12, rows: int = 2, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,6 +354,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
 
         found = materialize(map_rows(rows_, check, "a long, b long", rows=64), "links")
         discard(held)
+        discard(pairs)
         return found
 
     def pairs_with(x: str) -> DataFrame:
@@ -372,12 +375,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
         pairs = pairs.filter("node <> other").join(of_other, "other", "left").filter(F.col("root") != F.coalesce("other_root", "other"))
         pairs = materialize(possible(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()), "pairs")
         if pairs.isEmpty():
+            discard(pairs)
             break
         more = verified(pairs)
         if more.isEmpty():
+            discard(more)
             continue
         links = links.unionByName(more)
-        roots = components(links)
+        old, roots = roots, components(links)
+        discard(old)
     # bands of up to three nodes have met whole: two of them met everyone
     part = bands_.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
     left = part.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("n > 3 AND r0 <> r1")
@@ -385,9 +391,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     if not nodes.isEmpty():
         release(docs.sparkSession)
         held = texts_at(nodes)
-        pairs = materialize(prefix_pairs(held, roots, lambda: Weights(*arr, n), threshold, k), "pairs")
-        links = links.unionByName(verified(pairs, held))
-        roots = components(links)
+        links = links.unionByName(verified(prefix_pairs(held, roots, lambda: Weights(*arr, n), threshold, k), held))
+        old, roots = roots, components(links)
+        discard(old)
+    for done in (bands_, sketches, nodes, links):
+        discard(done)
     named = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     classes = named.join(least, "root").select("node", "root", F.col("least.doc_id").alias("class_id"))
