@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_rows, texts_of
+from .common import kept, map_rows, spread, texts_of
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,10 +36,10 @@ SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 class PrefixCoder:
     """Encodes one piece (bytes) at a time; pairs that were tested are remembered, up to a bound."""
 
-    PAIRS = 500_000
+    PAIRS = 300_000
     #: Prefix lengths whose tables are kept for other pieces with the same beginning, up to a bound.
     STEMS = (5, 8)
-    KEPT_STEMS = 400_000
+    KEPT_STEMS = 150_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -184,7 +184,7 @@ class PrefixTable:
 class _Known(dict):
     """Pieces and their ids; an unknown one is encoded, and kept while there is room."""
 
-    ROOM = 400_000
+    ROOM = 250_000
 
     def __init__(self, encode):
         self.encode = encode
@@ -312,7 +312,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield out
 
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return map_rows(texts_of(docs, id_col, text_col), run, schema, owner="byte_bpe")
+    return map_rows(spread(texts_of(docs, id_col, text_col)), run, schema, owner="byte_bpe")
 
 
 def decode_documents(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

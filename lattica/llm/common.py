@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_FOLDERS: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lattica/{tag}-{uuid.uuid4().hex}"
+    """A new name in the shared folder, or in the one of temporary() while that is open."""
+    return f"{_FOLDERS[-1] if _FOLDERS else shared_dir(spark).rstrip('/') + '/lattica'}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession, tag: str):
+    """All tables that are written within go when it ends: for a step whose result is stored elsewhere."""
+    _FOLDERS.append(scratch(spark, tag))
+    try:
+        yield
+    finally:
+        remove(spark, _FOLDERS.pop())
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -57,9 +73,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def discard(table: DataFrame | None) -> None:
-    """Remove the files of a table that materialize() wrote and nothing reads any more."""
-    if table is not None and (files := table.inputFiles()):
-        remove(table.sparkSession, files[0].rpartition("/")[0])
+    """Remove the files of what materialize() wrote, of one table or a union, and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()} if table is not None else ():
+        remove(table.sparkSession, folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -75,6 +91,14 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """A small input over all cores: a file of one row group is one task's otherwise. By the planner's estimate, so nothing runs
+    for it, and inputs of `least_bytes` for each core or more stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * least_bytes else df
+
+
 _KEPT: dict[str, dict] = {}
 
 
@@ -87,9 +111,14 @@ def kept(owner: str, key: object, make: Callable[[], object]) -> object:
 
 
 def keep_only(owner: str | None = None) -> None:
-    """Drop what tasks of other operators have kept in this Python process: workers live longer than an operator."""
-    for name in [n for n in _KEPT if n != owner]:
+    """Drop what tasks of other operators have kept in this Python process, and give its memory back: workers live longer than an operator."""
+    others = [n for n in _KEPT if n != owner]
+    for name in others:
         del _KEPT[name]
+    if others:
+        gc.collect()
+        with suppress(AttributeError, OSError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = 256, owner: str | None = None) -> DataFrame:

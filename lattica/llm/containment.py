@@ -19,7 +19,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keep_only, kept, map_rows, mix64, scratch, shingle_hashes, texts_of
+from .common import WordHasher, keep_only, kept, map_rows, mix64, scratch, shingle_hashes, spread, texts_of
 
 _HASHES = (mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).tolist()
 
@@ -212,7 +212,7 @@ def find_items(docs: DataFrame, indexes: list[ContainmentIndex | IndexFile], id_
 
         return run
 
-    rows = texts_of(docs, id_col, text_col)
+    rows = spread(texts_of(docs, id_col, text_col))
     parts = [map_rows(rows, run_for(x), "doc_id long, item_id long, containment double", rows=128, owner="containment") for x in indexes]
     out = parts[0]
     for p in parts[1:]:

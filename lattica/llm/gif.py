@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, spread, texts_of
 
 MAX_CODES = 4096
 
@@ -347,7 +347,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             whole = [padded(d) for d in data]
             yield {"doc_id": b["doc_id"], "n_bytes": list(map(len, data)), "payload_bytes": list(map(len, whole)), "media": [samples_to_gif(p) for p in whole]}
 
-    return map_rows(texts_of(docs, id_col, text_col), run, "doc_id long, n_bytes long, payload_bytes long, media binary", rows=64)
+    return map_rows(spread(texts_of(docs, id_col, text_col)), run, "doc_id long, n_bytes long, payload_bytes long, media binary", rows=64)
 
 
 def media_frames(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

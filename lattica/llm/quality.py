@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, map_rows, materialize, texts_of
+from .common import keep_only, map_rows, materialize, spread, texts_of
 from .toxicity import sample_labels
 
 DIM_BITS = 11
@@ -127,7 +127,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4,
             best = tails[:, -1] if tails.shape[1] else np.ones(len(x))
             yield {"doc_id": b["doc_id"], "expected_grade": model.expected(tails).astype(float).tolist(), "tail": best.astype(float).tolist(), "keep": (best >= least_tail).tolist()}
 
-    return map_rows(texts_of(docs, id_col, text_col), run, "doc_id long, expected_grade double, tail double, keep boolean")
+    return map_rows(spread(texts_of(docs, id_col, text_col)), run, "doc_id long, expected_grade double, tail double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4, text_col: str = "text") -> DataFrame:

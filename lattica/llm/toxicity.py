@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, texts_of
+from .common import map_rows, materialize, spread, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[,:()]")
@@ -338,7 +338,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             score = m.score(x)
             yield {"doc_id": b["doc_id"], "score": score.tolist(), "predicted": (score >= 0.5).astype(int).tolist(), "clause_weights": x[:, : len(STATES)].tolist()}
 
-    return map_rows(texts_of(docs, id_col, text_col), run, "doc_id long, score double, predicted int, clause_weights array<double>")
+    return map_rows(spread(texts_of(docs, id_col, text_col)), run, "doc_id long, score double, predicted int, clause_weights array<double>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
