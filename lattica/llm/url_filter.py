@@ -1,8 +1,8 @@
 """URL filter: a trie over reversed host labels, then over path segments, with longest match.
 
-The rule set is a parameter. Tries of at most MAX_RULES rules go to the executors with the function that uses
-them; a larger set makes several, which the pages pass in turns, keeping the deepest entry so far. Allow and block
-entries share a trie; the deepest entry that fits decides.
+The rule set is a parameter. Tries of at most MAX_RULES rules are broadcast, once to an executor; a larger set makes
+several, which the pages pass in turns, keeping the deepest entry so far. Allow and block entries share a trie; the
+deepest entry that fits decides.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
         if kinds.setdefault((host, path), verdict) != verdict:
             raise ValueError(f"{host}{path} is both allowed and blocked")
 
-    def first(trie: UrlTrie):
+    def first(sent):
         def run(batches):
+            trie = sent.value
             for b in batches:
                 parts = [split_url(u) for u in b["url"]]
                 found = [trie.find(h, p) or (None, default, [0, 0]) for h, p in parts]
@@ -104,16 +105,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
 
         return run
 
-    def further(trie: UrlTrie):
+    def further(sent):
         def run(batches):
+            trie = sent.value
             for b in batches:
                 found = [max((r, v, d), trie.find(h, p) or (r, v, d), key=lambda x: x[2]) for h, p, r, v, d in zip(b["host"], b["path"], b["rule"], b["verdict"], b["depth"])]
                 yield {n: b[n] for n in ("page_id", "host", "path")} | {"rule": [x[0] for x in found], "verdict": [x[1] for x in found], "depth": [x[2] for x in found]}
 
         return run
 
+    send = pages.sparkSession.sparkContext.broadcast
     schema = "page_id long, host string, path string, rule string, verdict string, depth array<int>"
-    out = map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), first(blocks[0]), schema, rows=4096)
+    out = map_rows(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), first(send(blocks[0])), schema, rows=4096)
     for trie in blocks[1:]:
-        out = map_rows(out, further(trie), schema, rows=4096)
+        out = map_rows(out, further(send(trie)), schema, rows=4096)
     return out.drop("depth")
