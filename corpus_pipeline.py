@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import byte_bpe, containment, near_dup, quality, substring_dedup
-from lattica.llm.common import read_table, scratch
+from lattica.llm.common import read_table, remove, scratch, temporary
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written to the shared folder and read again by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows; every stage is written to the shared folder and read again by the next. What a stage writes on its
+    way goes when its result is stored, and that when the next stage's is."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
