@@ -924,3 +924,20 @@ def transaction_tables(db):
     if "new" in db.tables or "kept" not in db.tables:
         raise AssertionError("rollback left tables as they were inside")
     return seen.intersect(db["kept"])
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation")
+def backup_restore(db):
+    """A table that was stored and read back, with what was committed only, and with its key and index."""
+    one = Database(db.spark, "one")
+    one.execute("create table t (id bigint primary key, name varchar(40))")
+    one.execute("create unique index by_name on t (name)")
+    one.insert("t", db["nation"].select(col("n_nationkey").alias("id"), col("n_name").alias("name")))
+    one.begin()
+    one.execute("delete from t")
+    folder = new_folder(db.spark, "backup")
+    one.backup(folder)
+    back = Database.restore(db.spark, folder)
+    if back.tables["t"].key != ["id"] or back.tables["t"].indexes != {"by_name": (["name"], True)}:
+        raise AssertionError("the catalog is not as it was")
+    return back["t"]
