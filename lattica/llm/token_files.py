@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import kept, map_rows, materialize, scratch, texts_of
 
 MAGIC = b"LTKF0001"
+UNSIGNED = "I" if array("I").itemsize == 4 else "L"  # of 32 bits
 
 
 class EliasFano:
@@ -78,6 +81,22 @@ class EliasFano:
     def __len__(self) -> int:
         return self.n
 
+    def walk(self, i: int = 0):
+        """The values from the i-th on, one at a time: select finds the first one, and each next is the next one of the bits."""
+        if i >= self.n:
+            return
+        at = self.select(i)
+        w = at // 64
+        word = int(self.high[w]) >> (at % 64) << (at % 64)
+        while i < self.n:
+            while not word:
+                w += 1
+                word = int(self.high[w])
+            at = w * 64 + (word & -word).bit_length() - 1
+            yield ((at - i) << self.low_bits) | self._low(i)
+            word &= word - 1
+            i += 1
+
     def values(self) -> np.ndarray:
         if not self.n:
             return np.zeros(0, np.uint64)
@@ -137,6 +156,13 @@ class Shard:
     def doc_id(self, i: int) -> int | None:
         return None if i < self._nulls else self._names[i - self._nulls] + self._base
 
+    def documents(self):
+        """(doc_id, from, to) of all documents, in order; ids are ids[from:to]."""
+        ends, names, low = self.bounds.walk(1), self._names.walk(), 0
+        for i, high in enumerate(ends):
+            yield None if i < self._nulls else next(names) + self._base, low, high
+            low = high
+
 
 #: The pattern of public word vocabularies whose matches hold either letters, one digit, or neither.
 WORDS_APART = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -166,10 +192,13 @@ class WordIds(dict):
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
     def library(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array(UNSIGNED, self.lib.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if self.apart and word[-1:] in self.ENDS and word[:-1].isalpha() and max(word) < self.PLAIN:
+        if self.apart and word[-1:] in self.ENDS and word[:-1].isalpha() and (word.isascii() or max(word) < self.PLAIN):
             ids = self[word[:-1]] + self[word[-1]]
         else:
             ids = self.library(word)
@@ -248,7 +277,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 def read_token_files(shards: DataFrame, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, where asked for, ids.
 
-    Boundaries and doc_ids come from select on the coded sequences, one document at a time; no table of them is made."""
+    Boundaries and doc_ids come from the coded sequences one document at a time, by select and the next set bit; no table of them is made."""
 
     def run(batches):
         names = ("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
@@ -257,13 +286,11 @@ def read_token_files(shards: DataFrame, with_ids: bool = True) -> DataFrame:
                 fs, name = _fs(path)
                 with fs.open_input_file(name) as f:
                     shard = Shard(f.read())
-                out, low = {n: [] for n in names}, 0
-                for i in range(shard.docs):
-                    high = shard.bounds[i + 1]
-                    ids, at = shard.ids[low:high], start + low
-                    for n, v in zip(names, (shard.doc_id(i), at, high - low, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32) if with_ids else None)):
+                out = {n: [] for n in names}
+                for doc_id, low, high in shard.documents():
+                    ids = shard.ids[low:high]
+                    for n, v in zip(names, (doc_id, start + low, high - low, zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32) if with_ids else None)):
                         out[n].append(v)
-                    low = high
                     if len(out["doc_id"]) == 2048:
                         yield out
                         out = {n: [] for n in names}

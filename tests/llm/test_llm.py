@@ -92,6 +92,7 @@ def test_elias_fano():
             v = np.sort(r.integers(0, top, n))
             e = token_files.EliasFano.load(token_files.EliasFano.of(v).dump())
             assert (e.values().astype(np.int64) == v).all() and all(e[i] == v[i] for i in range(0, n, 17))
+            assert all(list(e.walk(i)) == v[i:].tolist() for i in (0, 1, n // 2, n))
     v = np.arange(0, 3_000_000, 300)
     assert token_files.EliasFano.of(v).nbytes * 8 / len(v) < 11
     with pytest.raises(ValueError):
@@ -615,6 +616,7 @@ def test_shards_are_read_by_select(monkeypatch, spark, tmp_path, table):
     with open(path, "rb") as f:
         shard = token_files.Shard(f.read())
     assert sum(len(shard[i]) for i in range(shard.docs)) == len(shard.ids) and shard.doc_id(0) is None
+    assert [(d, len(shard[i])) for i, (d, *_) in enumerate(shard.documents())] == [(shard.doc_id(i), b - a) for i, (_, a, b) in enumerate(shard.documents())]
     import inspect
 
     assert "values()" not in inspect.getsource(token_files.read_token_files) and "values()" not in inspect.getsource(token_files.Shard)
