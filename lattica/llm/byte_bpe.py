@@ -184,7 +184,7 @@ class PrefixTable:
 class _Known(dict):
     """Pieces and their ids; an unknown one is encoded, and kept while there is room."""
 
-    ROOM = 250_000
+    ROOM = 400_000
 
     def __init__(self, encode):
         self.encode = encode
