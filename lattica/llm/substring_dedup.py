@@ -39,6 +39,7 @@ SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SP
 GROUP_MAX = 3_000  # contexts in a block's group
 BLOCK_BYTES = 400_000  # a block is full then; its last group may go beyond by GROUP_MAX contexts
 STRETCH = 24_000  # bytes of texts whose anchors are found together
+PIECE = 65_000  # bytes of a text whose anchors are found at a time
 PARTS = (21, 7, 1)  # neighbouring window starts in a cell, where an anchor has too many contexts
 
 
@@ -52,14 +53,31 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def anchors_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places and hashes of each text's anchors: all places with the least hash in some window of that text."""
+    """Places and hashes of each text's anchors: all places with the least hash in some window of that text. Texts longer than
+    PIECE are gone through in pieces that share LENGTH - 1 bytes, so that every window lies in one."""
     out, at, size = [], 0, 0
     for i, data in enumerate(texts):
+        if len(data) > PIECE:
+            out += (_anchors(texts[at:i]) if at < i else []) + [_anchors_in_pieces(data)]
+            at, size = i + 1, 0
+            continue
         size += len(data)
-        if size >= STRETCH or i + 1 == len(texts):
+        if size >= STRETCH:
             out += _anchors(texts[at : i + 1])
             at, size = i + 1, 0
-    return out
+    return out + (_anchors(texts[at:]) if at < len(texts) else [])
+
+
+def _anchors_in_pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ats, hashes = [], []
+    for start in range(0, len(data) - LENGTH + 1, PIECE):
+        ((at, h),) = _anchors([data[start : start + PIECE + LENGTH - 1]])
+        ats.append(at + start)
+        hashes.append(h)
+    if not ats:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, first = np.unique(np.concatenate(ats), return_index=True)
+    return at, np.concatenate(hashes)[first]
 
 
 def _anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -84,10 +102,6 @@ def _anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(at[a:b] - start, h[at[a:b]]) for a, b, start in zip([0, *cut.tolist()], cut.tolist(), [0, *ends.tolist()])]
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return anchors_of([data])[0]
-
-
 def contexts(data: bytes, at: np.ndarray) -> np.ndarray:
     """A hash of the bytes of all windows around each anchor, and of where in them the anchor is."""
     digest, left = xxhash.xxh3_64_intdigest, SPAN - 1

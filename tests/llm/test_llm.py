@@ -172,6 +172,16 @@ def test_substring_dedup(table, monkeypatch, group_max):
     assert collected(substring_dedup.dedup_report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == by_hand(rows)
 
 
+def test_anchors_in_pieces(monkeypatch):
+    r = random.Random(6)
+    texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 150, 199, 200, 201, 350, 5000, 20, 3000)]
+    want = substring_dedup.anchors_of(texts)
+    for piece in (1, 7, 200, 333, 4999):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        for (a, g), (b, h) in zip(want, substring_dedup.anchors_of(texts)):
+            assert a.tolist() == b.tolist() and g.tolist() == h.tolist()
+
+
 def test_remove_repeats(table):
     df, rows = table
     out = substring_dedup.remove_repeats(df.limit(100))
