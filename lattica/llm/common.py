@@ -11,6 +11,7 @@ from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,27 @@ def keep_only(owner: str | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of texts that are worked on at once, but for a single row of more.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, and fewer where texts are long."""
+    if batch.nbytes <= SLICE_BYTES:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1
+        end = max(at + 1, min(at + rows, end))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = 256, owner: str | None = None) -> DataFrame:
     """mapInArrow over column lists: fn gets dicts of Python lists (binary and arrays as numpy where asked) and yields dicts of lists.
     owner: whose kept() things the tasks use."""
@@ -135,8 +157,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sche
 
         def small():
             for b in batches:
-                for at in range(0, b.num_rows, rows):
-                    part = b.slice(at, rows)
+                for part in slices(b, rows):
                     yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
         for out in fn(small()):

@@ -19,7 +19,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keep_only, kept, map_rows, mix64, scratch, shingle_hashes, spread, texts_of
+from .common import WordHasher, keep_only, kept, map_rows, mix64, scratch, shingle_hashes, slices, spread, texts_of
 
 _HASHES = (mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).tolist()
 
@@ -230,8 +230,7 @@ def drop_contaminated(docs: DataFrame, indexes: list[ContainmentIndex | IndexFil
             keep_only("containment")
             hasher, index = WordHasher(), _loaded(source)
             for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    b = batch.slice(at, 128)
+                for b in slices(batch, 128):
                     texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
                     keep = np.ones(len(texts), bool)
                     keep[[d for d, _, _ in index.search(texts, hasher)]] = False

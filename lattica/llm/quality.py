@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, map_rows, materialize, spread, texts_of
+from .common import keep_only, map_rows, materialize, slices, spread, texts_of
 from .toxicity import sample_labels
 
 DIM_BITS = 11
@@ -138,8 +138,7 @@ def keep_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.4,
     def run(batches):
         keep_only()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in slices(batch, 256):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 tails = model.tails(np.stack([hashed_features(t or "") for t in texts]))
                 yield b.filter(pa.array(tails[:, -1] >= least_tail if tails.shape[1] else np.ones(len(texts), bool)))

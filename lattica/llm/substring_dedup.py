@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, keep_only, map_rows, materialize, mix64, powers, release
+from .common import discard, free_name, keep_only, map_rows, materialize, mix64, powers, release, slices
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1  # windows that contain an anchor start in [anchor - SPAN + 1, anchor]
@@ -500,8 +500,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         keep_only()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                b = batch.slice(i, 64)
+            for b in slices(batch, 64):
                 cols = [b.column(j) for j in range(len(names))]
                 out = []
                 texts = cols[at].to_pylist()

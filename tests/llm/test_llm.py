@@ -676,3 +676,17 @@ def test_long_repeats(spark):
     got = {x.doc_id: x for x in substring_dedup.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0].n_bytes == 140_000 and list(got[0].spans) == [70_000, 70_200, 75_000, 100_000] and got[0].n_removed == 25_200
     assert got[1].n_removed == 25_000 and got[2].n_removed == 0 and got[3].n_removed == 200
+
+
+def test_slices(monkeypatch):
+    import pyarrow as pa
+
+    from lattica.llm import common
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 100)
+    texts = ["a" * n for n in (3, 90, 20, 500, 0, 1, 60, 60)] + [None] * 9
+    batch = pa.RecordBatch.from_pydict({"i": list(range(17)), "t": texts})
+    parts = list(common.slices(batch, 4))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(17))
+    assert all(p.num_rows == 1 or p.num_rows <= 4 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 100 for p in parts)
+    assert list(common.slices(batch.slice(0, 0), 4)) == []
