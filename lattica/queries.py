@@ -818,7 +818,7 @@ def sql_derived_names(db):
     return db.execute("SELECT p_partkey, upper(p_name), upper(p_name), substring(p_name, 2, 6), p_size + 1 AS more FROM part")
 
 
-@query("SELECT o_orderkey, month(o_orderdate) - 1 AS m, o_custkey // 7 AS weeks, o_orderkey % 5 AS rest FROM orders WHERE instr(o_orderpriority, 'IUM') - 1 > 0")
+@query("SELECT o_orderkey, CAST(month(o_orderdate) - 1 AS INTEGER) AS m, o_custkey // 7 AS weeks, o_orderkey % 5 AS rest FROM orders WHERE instr(o_orderpriority, 'IUM') - 1 > 0")
 def sql_functions(db):
     return db.execute("select o_orderkey, month(o_orderdate) as m, o_custkey / 7 as weeks, o_orderkey % 5 as rest from orders where index_of(o_orderpriority, 'IUM') > 0")
 
