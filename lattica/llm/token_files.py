@@ -180,7 +180,7 @@ class WordIds(dict):
     ENDS = frozenset(".,;:!?")
     PLAIN = "\u0130"
 
-    ROOM = 1_000_000
+    ROOM = 1_300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
