@@ -8,9 +8,11 @@ bounds what is broadcast.
 
 Documents of the same words are one node. Nodes that share a band are linked to two nodes of the
 band, pairs that bit maps of their shingles do not rule out are verified by their weighted Jaccard similarity, and bands that then still hold
-several components are linked anew, by other nodes, across components only. The nodes of bands that
-remain so meet in an exact join of prefixes: with shingles in one order, rare ones first, two nodes
-that reach the threshold share a shingle of the short prefix of the smaller and the prefix of the larger.
+several components are linked anew, by other nodes, across components only. Of bands that remain so all
+pairs across components are compared, but for nodes that cannot have a partner: with shingles in one order, rare
+ones first, two nodes that reach the threshold share a shingle of the short prefix of the smaller and the prefix of
+the larger. Long bit maps of their shingles, block by block, leave pairs close to the threshold; these are verified
+where they meet, and only links that join two components are rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ _TABLE_BITS = 16
 _COUNT_BITS = 20
 _COUNT_SLICES = 64
 _MAP_BITS = 512
-_HEAD = 16  # shingles of a prefix that go with each of its rows
+_WIDE_MIN, _WIDE_MAX = 9, 20  # powers of two of the places of a long map
+_BLOCK_NODES, _BLOCK_BYTES = 1000, 4_000_000  # what a block of a crowded band holds, about
 SLACK = 1 + 1e-9  # for sums of weights in another order
 
 
@@ -155,11 +158,11 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / high) if high else 1.0
 
 
-def bit_maps(s: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row of numbers for every text, three maps of _MAP_BITS behind each other: the places of its shingles of weight 1 and
+def bit_maps(s: np.ndarray, w: np.ndarray, counts: np.ndarray, bits: int = _MAP_BITS) -> np.ndarray:
+    """A row of numbers for every text, three maps of so many bits behind each other: the places of its shingles of weight 1 and
     more, those of 1/2 and more (without the places before), and those of any shingle that weighs something."""
-    doc, at = np.repeat(np.arange(len(counts)), counts), ((s >> np.uint64(9)) % np.uint64(_MAP_BITS)).astype(np.int64)
-    maps = np.zeros((len(counts), 3, _MAP_BITS), np.uint8)
+    doc, at = np.repeat(np.arange(len(counts)), counts), ((s >> np.uint64(9)) % np.uint64(bits)).astype(np.int64)
+    maps = np.zeros((len(counts), 3, bits), np.uint8)
     for i, some in enumerate((w >= 1.0, w >= 0.5, w > 0)):
         maps[doc[some], i, at[some]] = 1
     maps[:, 1] &= 1 - maps[:, 0]
@@ -183,8 +186,66 @@ def may_reach(x: str, y: str, threshold: float) -> Column:
     return sizes & (rest(x, y) >= need) & (rest(y, x) >= need)
 
 
-def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Weights], threshold: float, k: int) -> DataFrame:
-    """held (node, text) to pairs (a, b) across components: all that can reach the threshold are among them.
+def wide_map(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """bit_maps of one text with about eight places and more for each unit of its weight."""
+    power = int(np.ceil(np.log2(max(8 * float(w.sum()), 1))))
+    return bit_maps(s, w, np.array([len(s)]), 1 << min(max(power, _WIDE_MIN), _WIDE_MAX)).reshape(3, -1)
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (texts, 3, words) with fewer words: a place stands for all that fall on it."""
+    while maps.shape[2] > words:
+        half = maps.shape[2] // 2
+        maps = maps[:, :, :half] | maps[:, :, half:]
+    return maps
+
+
+def close_links(x: list[tuple], y: list[tuple], major: int, threshold: float) -> tuple[list[int], list[int]]:
+    """Links between two blocks of rows (node, root, shingles, weights): of all pairs at the threshold, enough of them to join the
+    components (of roots) that they join. The maps' bound is that of may_reach; what passes is compared exactly, unless it is joined
+    already. x has no node of the component `major`; of two others the smaller node is x."""
+    names = {r: i for i, r in enumerate({row[1] for row in (*x, *y)})}
+    label = np.arange(len(names))  # of each component, as it is now
+
+    def by_words(rows: list[tuple]) -> dict[int, tuple]:
+        maps, found = [wide_map(s, w).view(np.uint64) for _, _, s, w in rows], {}
+        for n in sorted({m.shape[1] for m in maps}):
+            own = [i for i, m in enumerate(maps) if m.shape[1] == n]
+            node, root = np.array([rows[i][0] for i in own], np.int64), np.array([rows[i][1] for i in own], np.int64)
+            of = np.array([names[rows[i][1]] for i in own])
+            found[n] = node, root, of, np.array([float(rows[i][3].sum()) for i in own]), np.stack([maps[i] for i in own]), [rows[i][2:] for i in own]
+        return found
+
+    def absent(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(one & ~other).sum(axis=1, dtype=np.int64)
+
+    a, b, ys = [], [], by_words(y)
+    for n, (x_node, _, x_of, x_size, x_maps, x_sets) in by_words(x).items():
+        for m, (y_node, y_root, y_of, y_size, y_maps, y_sets) in ys.items():
+            if min(x_size.max(), y_size.max()) * SLACK < threshold * max(x_size.min(), y_size.min()):
+                continue
+            xs, those = folded(x_maps, min(n, m)), folded(y_maps, min(n, m))
+            for i in range(len(x_node)):
+                fits = (label[y_of] != label[x_of[i]]) & ((x_node[i] < y_node) | (y_root == major))
+                fits &= np.minimum(x_size[i], y_size) * SLACK >= threshold * np.maximum(x_size[i], y_size)
+                at = np.flatnonzero(fits)
+                need = threshold / (1 + threshold) / SLACK * (x_size[i] + y_size)
+                rest = x_size[i] - absent(xs[i, 0], those[at, 2])
+                at, rest = at[rest >= need[at]], rest[rest >= need[at]]
+                at = at[rest - absent(xs[i, 1], those[at, 2]) / 2 >= need[at]]
+                at = at[y_size[at] - absent(those[at, 0], xs[i, 2]) - absent(those[at, 1], xs[i, 2]) / 2 >= need[at]]
+                for j in at.tolist():
+                    p, q = label[x_of[i]], label[y_of[j]]
+                    if p != q and weighted_jaccard(x_sets[i], y_sets[j]) >= threshold:
+                        label[label == p] = q
+                        a.append(int(x_node[i]))
+                        b.append(int(y_node[j]))
+    return a, b
+
+
+def crowded_links(held: DataFrame, crowded: DataFrame, weights_of: Callable[[], Weights], threshold: float, k: int) -> DataFrame:
+    """held (node, text) and crowded (node, key, root) to links (a, b): nodes of one key that reach the threshold are in one
+    component with them.
 
     The weights of x and y share at least need = t / (1 + t) * (|x| + |y|) then, and the larger is at most 1 / t times
     the smaller. Shingles are ordered alike in all nodes, by how many nodes have one of their hash bucket: if the
@@ -192,8 +253,10 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     need would be left to share. A shingle whose bucket one node has is shared by none. Any order is exact; rare
     ones first keep the shingles that thousands of nodes have out of the prefixes.
 
-    Nodes also carry their bit maps, and pairs that these rule out are no rows of the join: members of a large loose
-    group meet in its condition, not in its result.
+    So a node that shares no shingle of its prefix with another component has no partner; unlike texts around one
+    template fall out here. The others of a key meet in blocks, two in a task, where a pair is a few operations on
+    their maps and is compared exactly only if these leave it: at eight places a shingle few far below the threshold
+    are left. A task's rows are fewer than its components, whatever the number of its pairs.
     """
     cells, width = 1 << _COUNT_BITS, (1 << _COUNT_BITS) // _COUNT_SLICES
 
@@ -220,54 +283,88 @@ def prefix_pairs(held: DataFrame, roots: DataFrame, weights_of: Callable[[], Wei
     rank = np.zeros(cells, np.uint8)
     for r in map_rows(counted, ranks, "slice long, c binary", rows=64).collect():
         rank[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.c, np.uint8)
-    slack = SLACK
 
     def prefixes(batches):
         hasher, weights = WordHasher(), weights_of()
-        names = ("s", "node", "size", "before", "short", "map", "head", "place")
         for b in batches:
-            out = {x: [] for x in names}
+            out = {x: [] for x in ("s", "node", "short")}
             s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
             w, order, ends = weights.of(s, tf), rank[bucket(s)], np.cumsum(own)
-            maps = bit_maps(s, w, own)
-            for node, own_map, n, end in zip(b["node"], maps.tolist(), own.tolist(), ends.tolist()):
+            for node, n, end in zip(b["node"], own.tolist(), ends.tolist()):
                 at = np.arange(end - n, end)[w[end - n : end] > 0]
                 at = at[np.lexsort((s[at], order[at]))]
                 if not len(at):
                     continue
                 upto = np.cumsum(w[at])
                 size, before = float(upto[-1]), upto - w[at]
-                on = (before <= (1 - threshold) * size * slack) & (order[at] > 0)
+                on = (before <= (1 - threshold) * size * SLACK) & (order[at] > 0)
                 at, before = at[on], before[on]
                 out["s"] += s[at].view(np.int64).tolist()
-                out["before"] += before.tolist()
-                out["short"] += (before <= (1 - threshold) / (1 + threshold) * size * slack).tolist()
+                out["short"] += (before <= (1 - threshold) / (1 + threshold) * size * SLACK).tolist()
                 out["node"] += [node] * len(at)
-                out["size"] += [size] * len(at)
-                out["map"] += [own_map] * len(at)
-                out["head"] += [s[at[:_HEAD]].view(np.int64).tolist()] * len(at)
-                out["place"] += range(len(at))
             yield out
 
-    tokens = map_rows(held, prefixes, "s long, node long, size double, before double, short boolean, map array<long>, head array<long>, place int", rows=64)
-    tokens = written = materialize(tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
-    # the component with most nodes at a shingle is one side only, so that one large class does not meet itself
-    by_root = tokens.groupBy("s", "root").agg(F.count("*").alias("n"))
-    major = by_root.groupBy("s").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).filter("roots > 1").select("s", F.col("top.root").alias("major"))
-    tokens = tokens.join(major, "s")
-    x, y = tokens.filter("root <> major").alias("x"), tokens.alias("y")
-    need = F.lit(threshold / (1 + threshold) / slack) * (F.col("x.size") + F.col("y.size"))
-    most = F.least("x.before", "y.before") + F.least(F.col("x.size") - F.col("x.before"), F.col("y.size") - F.col("y.before"))
-    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & (most >= need)
-    meet &= (F.col("x.short") & (F.col("x.size") <= F.col("y.size") * slack)) | (F.col("y.short") & (F.col("y.size") <= F.col("x.size") * slack))
-    # neither node on the side of the larger component: one of both orders
-    meet &= (F.col("x.node") < F.col("y.node")) | (F.col("y.root") == F.col("y.major"))
-    meet &= may_reach("x", "y", threshold)
-    # a pair that meets at a shingle meets at each common one before, too: once is enough, as far as heads tell
-    meet &= ~F.arrays_overlap(F.slice("x.head", F.lit(1), F.least("x.place", F.lit(_HEAD))), F.slice("y.head", F.lit(1), F.least("y.place", F.lit(_HEAD))))
-    pairs = materialize(x.join(y, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    discard(written)
-    return pairs
+    def vectors(batches):
+        hasher, weights = WordHasher(), weights_of()
+        for b in batches:
+            s, tf, own = unique_shingles(*shingle_hashes(*hasher.words(b["text"]), k))
+            w, ends = weights.of(s, tf), np.cumsum(own).tolist()
+            sets = [slice(end - n, end) for n, end in zip(own.tolist(), ends)]
+            yield {"node": b["node"], "s": [s[x].tobytes() for x in sets], "w": [w[x].tobytes() if (w[x] != 1.0).any() else b"" for x in sets]}
+
+    def close(batches):
+        def tasks():
+            now, rows = None, []
+            for b in batches:
+                for row in zip(b["key"], b["i"], b["j"], b["side"], b["major"], b["node"], b["root"], b["s"], b["w"]):
+                    if rows and row[:3] != now:
+                        yield rows
+                        rows = []
+                    now = row[:3]
+                    rows.append(row[3:])
+            if rows:
+                yield rows
+
+        def block(rows, side):
+            # weights that are all 1 are not sent
+            return [(node, root, np.frombuffer(s, np.uint64), np.frombuffer(w) if w else np.ones(len(s) // 8)) for own, _, node, root, s, w in rows if own == side]
+
+        for rows in tasks():
+            x, y = block(rows, 0), block(rows, 1)
+            if x and y:
+                a, b = close_links(x, y, rows[0][1], threshold)
+                yield {"a": a, "b": b}
+
+    tokens = map_rows(held, prefixes, "s long, node long, short boolean", rows=64)
+    tokens = materialize(tokens.join(crowded.select("node", "root").distinct(), "node"), "prefixes")
+    shared = tokens.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("short").alias("short")).filter("r0 <> r1 AND short")
+    live = materialize(tokens.join(shared.select("s"), "s", "left_semi").select("node").distinct(), "live")
+    sets = materialize(map_rows(held.join(live, "node", "left_semi"), vectors, "node long, s binary, w binary", rows=64), "vectors")
+    met = materialize(crowded.join(sets.select("node", (F.length("s") + F.length("w")).alias("bytes")), "node"), "met")
+    # the component with most nodes of a key is one side only, so that one large class does not meet itself
+    by_root = met.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    keys = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / _BLOCK_NODES, size / _BLOCK_BYTES)).cast("int")
+
+    xs, ys = blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")), blocks(F.col("n"), F.col("bytes"))
+    dealt = met.drop("bytes").join(keys.filter("roots > 1").select("key", F.col("top.root").alias("major"), xs.alias("xs"), ys.alias("ys")), "key")
+
+    def own(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    names = ("key", "major", "node", "root")
+    x = dealt.filter("root <> major").select(*names, own("xs").alias("i"), every("ys").alias("j"), F.lit(0).alias("side"))
+    y = dealt.select(*names, every("xs").alias("i"), own("ys").alias("j"), F.lit(1).alias("side"))
+    sides = x.unionByName(y).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = materialize(map_rows(sides, close, "a long, b long", rows=_BLOCK_NODES), "links")
+    for done in (tokens, live, sets, met):
+        discard(done)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 12, rows: int = 2, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,9 +429,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
         held = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.text_hash == wanted.text_hash)).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
         return materialize(held, "texts")
 
-    def verified(pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
-        if held is None:
-            held = texts_at(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def verified(pairs: DataFrame) -> DataFrame:
+        held = texts_at(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         rows_ = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
         def check(batches):
@@ -387,14 +483,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     # bands of up to three nodes have met whole: two of them met everyone
     part = bands_.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
     left = part.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("n > 3 AND r0 <> r1")
-    nodes = materialize(part.join(left.select("key"), "key", "left_semi").select("node").distinct(), "open")
-    if not nodes.isEmpty():
+    crowded = materialize(part.join(left.select("key"), "key", "left_semi"), "open")
+    if not crowded.isEmpty():
         release(docs.sparkSession)
-        held = texts_at(nodes)
-        links = links.unionByName(verified(prefix_pairs(held, roots, lambda: Weights(*arr, n), threshold, k), held))
+        held = texts_at(crowded.select("node").distinct())
+        links = links.unionByName(crowded_links(held, crowded, lambda: Weights(*arr, n), threshold, k))
+        discard(held)
         old, roots = roots, components(links)
         discard(old)
-    for done in (bands_, sketches, nodes, links):
+    for done in (bands_, sketches, crowded, links):
         discard(done)
     named = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))

@@ -245,6 +245,60 @@ def test_near_duplicates_in_a_crowded_band(spark):
     assert got == {i: i - 300 if i >= 300 else i for i in range(310)}
 
 
+def test_near_duplicates_in_a_loose_group(monkeypatch, spark):
+    """300 texts with eight words of one template replaced, no two of them similar enough, and near copies of ten: the rows
+    of pairs and links that the crowded bands make do not grow with the square of the group."""
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(20_000)]
+    template = [r.choice(vocab) for _ in range(400)]
+    texts = []
+    for _ in range(300):
+        x = list(template)
+        for slot in r.sample(range(40), 8):
+            x[10 * slot + 4] = r.choice(vocab)
+        texts.append(x)
+    texts += [[*texts[i][:-1], "other"] for i in range(10)]
+    rows = [*((i, " ".join(x)) for i, x in enumerate(texts)), *((1000 + i, f"f{i}") for i in range(29_690))]
+    made, write = [], near_dup.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).filter("doc_id < 1000").collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(310)}
+    crowded = made[[tag for tag, _ in made].index("open") :]
+    assert all(n <= 310 for tag, n in crowded if tag in ("pairs", "links")), crowded
+
+
+def test_close_links():
+    """Links join what all pairs at the threshold join, whatever the lengths and weights, and are as few as a tree's."""
+    g = np.random.default_rng(1)
+    joined = 0
+
+    def classes(links):
+        at = [i // 3 for i in range(40)]
+        for i, j in links:
+            at = [at[j] if c == at[i] else c for c in at]
+        return {tuple(c == d for d in at) for c in at}, len(set(at))
+
+    for size in (1, 3, 30, 300, 500, 900):
+        base, weight, rows = g.integers(1, 2**63, size, dtype=np.uint64), {}, []
+        for i in range(40):
+            own = base[g.random(size) >= 0.25 * g.random()]
+            s = np.unique(np.concatenate([own, g.integers(1, 2**63, g.integers(0, 1 + size // 8), dtype=np.uint64), base[:1]]))
+            rows.append((i, i // 3, s, np.array([weight.setdefault(int(h), 1.0 if g.random() < 0.7 else 2.5 * g.random()) for h in s])))
+        want = classes([(i, j) for j in range(40) for i in range(j) if near_dup.weighted_jaccard(rows[i][2:], rows[j][2:]) >= 0.8])
+        links = list(zip(*near_dup.close_links(rows[3:], rows, 0, 0.8)))
+        assert classes(links) == want and len(links) == 14 - want[1]
+        assert all(near_dup.weighted_jaccard(rows[i][2:], rows[j][2:]) >= 0.8 for i, j in links)
+        joined += len(links)
+    assert joined > 20
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Unlike texts under one doc_id and under none, each with near copies elsewhere."""
     r = random.Random(4)
