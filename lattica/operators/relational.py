@@ -63,6 +63,11 @@ def order(df: DataFrame, *keys: tuple[str, str] | str, missing: str | None = Non
 def numbered(df: DataFrame, name: str = "place") -> DataFrame:
     """A sorted frame with each row's place from 0, without bringing the rows into one task: the sort's partitions are ranges in
     order, so a row's place is the number of rows of the partitions before plus its place in its own."""
+    return _numbered(df, name)[0]
+
+
+def _numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """See numbered(); the number of all rows too."""
     spark = df.sparkSession
     marked = df.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
     sizes = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a number a partition
@@ -71,7 +76,7 @@ def numbered(df: DataFrame, name: str = "place") -> DataFrame:
         before.append((part, total))
         total += n
     starts = spark.createDataFrame(before, "_part int, _before long")
-    return marked.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    return marked.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before"), total
 
 
 def page(df: DataFrame, limit: int, offset: int = 0, one_based: bool = False) -> DataFrame:
@@ -81,7 +86,7 @@ def page(df: DataFrame, limit: int, offset: int = 0, one_based: bool = False) ->
 
 
 def pages(df: DataFrame, size: int = 1000):
-    """Cursor paging: lists of rows, one partition at a time on the driver."""
+    """Cursor paging: lists of rows, one partition at a time on the driver. All rows pass through it; see page_starts()."""
     own = []
     for row in df.toLocalIterator(prefetchPartitions=True):
         own.append(row)
@@ -92,6 +97,14 @@ def pages(df: DataFrame, size: int = 1000):
         yield own
 
 
+def page_starts(df: DataFrame, size: int = 1000) -> DataFrame:
+    """Of each page of a sorted frame its number from 0, its number of rows and its first row (page, n, first), found where the
+    rows are: none goes to the driver, which learns only how many each partition has."""
+    placed, total = _numbered(df, "_place")
+    first = placed.filter(F.col("_place") % size == 0)
+    return first.select((F.col("_place") / size).cast("long").alias("page"), F.least(F.lit(size).cast("long"), F.lit(total).cast("long") - F.col("_place")).alias("n"), F.struct(*df.columns).alias("first"))
+
+
 SET_OPS = {"union": lambda a, b: a.union(b).distinct(), "union all": DataFrame.union, "intersect": DataFrame.intersect, "except": DataFrame.subtract, "intersect all": DataFrame.intersectAll, "except all": DataFrame.exceptAll}
 
 
