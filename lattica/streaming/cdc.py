@@ -275,7 +275,8 @@ def run_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, errors
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        events = decode(df, table.schema, arrival=arrival).persist()
+        # what is kept for the steps to read again holds the text of bad messages only: of good ones it is more than their rows
+        events = decode(df, table.schema, arrival=arrival).withColumn("raw", F.when(F.col("bad"), F.col("raw"))).persist()
         try:
             table.apply(events, n)
             table.vacuum(keep)

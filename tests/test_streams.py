@@ -102,6 +102,25 @@ def test_versions(spark, tmp_path):
     assert rows(keyless.read()) == [(0, "x")]
 
 
+def test_stream_keeps_only_bad_texts(spark, tmp_path):
+    """The events that a batch keeps have no texts of good messages; bad ones have theirs whole."""
+    kept = []
+
+    class Seen(cdc.VersionedTable):
+        def apply(self, events, version):
+            kept.extend(tuple(r) for r in events.select("bad", "raw").collect())
+            super().apply(events, version)
+
+    queue = providers.Folder(f"file://{tmp_path}/queue")
+    bad = ["broken", json.dumps({"events": [event("INSERT", id=9), event("MERGE", record={"id": 7})]})]
+    queue.publish(messages(spark, *[event("INSERT", record={"id": i, "name": "a"}) for i in range(5)]).select("value").union(spark.createDataFrame([(b,) for b in bad], "value string")))
+    table = Seen(spark, f"file://{tmp_path}/t", spark.createDataFrame([], SCHEMA).schema, ["id"])
+    cdc.run_stream(queue.stream(spark), table, f"file://{tmp_path}/checkpoint", f"file://{tmp_path}/errors", arrival=queue.arrival).awaitTermination()
+    assert sorted(kept, key=repr) == sorted([(False, None)] * 6 + [(True, b) for b in bad], key=repr)
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/errors").select("value").collect()) == sorted(bad)
+    assert rows(table.read()) == [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "a"), (9, None)]
+
+
 class Told(providers.Folder):
     def __init__(self, path):
         super().__init__(path)
